@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from gridloom.llm import quality, simhash
+from gridloom.llm import mixing, quality, simhash
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op2_simhash": simhash.op2_simhash,
     "op7_quality": quality.op7_quality,
 }
 ORACLES = {
+    "op1_mixing": mixing.ORACLE,
     "op7_quality": quality.ORACLE,
 }
