@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from gridloom.llm import mixing, quality, simhash
+from gridloom.llm import imatch, mixing, quality, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_simhash": simhash.op2_simhash,
     "op7_quality": quality.op7_quality,
+    "op8_imatch": imatch.op8_imatch,
 }
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
     "op7_quality": quality.ORACLE,
+    "op8_imatch": imatch.ORACLE,
 }
