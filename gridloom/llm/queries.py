@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from gridloom.llm import imatch, mixing, quality, simhash
+from gridloom.llm import imatch, mixing, quality, simhash, tokenbin, tokencount, unigram
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_simhash": simhash.op2_simhash,
+    "op5_tokenbin": tokenbin.op5_tokenbin,
+    "op6_sentencepiece": unigram.op6_sentencepiece,
     "op7_quality": quality.op7_quality,
     "op8_imatch": imatch.op8_imatch,
+    "op9_tokencount": tokencount.op9_tokencount,
 }
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
