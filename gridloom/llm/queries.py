@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gridloom.llm import imatch, mixing, quality, simhash, tokenbin, tokencount, toxicity, unigram
+from gridloom.llm import imatch, mixing, paragraphs, quality, simhash, tokenbin, tokencount, toxicity, unigram
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_simhash": simhash.op2_simhash,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_substring": paragraphs.op4_substring,
     "op5_tokenbin": tokenbin.op5_tokenbin,
     "op6_sentencepiece": unigram.op6_sentencepiece,
     "op7_quality": quality.op7_quality,
