@@ -19,7 +19,7 @@ from gridloom.llm._common import WORD, table
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 #: A line of these phrases is boilerplate.
-BOILERPLATE = r"(cookie|javascript|lorem ipsum|all rights reserved|privacy policy|terms of (use|service)|click here|subscribe (now|to)|sign up for|log in to|licensed under|released under the|powered by)"
+BOILERPLATE = ("cookie", "javascript", "lorem ipsum", "all rights reserved", "privacy policy", "terms of use", "terms of service", "click here", "subscribe now", "subscribe to", "sign up for", "log in to", "licensed under", "released under the", "powered by")
 #: How a sentence may end.
 TERMINAL = r"[.!?\x{2026}:;][\x{22}'\x{201D}\x{2019}\x{BB})\]]*[\x20\x09-\x0D]*$"
 
@@ -50,56 +50,86 @@ def _repeat_words(words: Column) -> Column:
     return F.when(n < 6, none).otherwise(_let(windows(words), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(covered(h))))
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _count(text: Column, chars: str) -> Column:
+    """Occurrences of single characters, by plain byte search: much cheaper than a regex or translate."""
+    left = text
+    for c in chars:
+        left = F.replace(left, F.lit(c), F.lit(""))
+    return F.length(text) - F.length(left)
+
+
+def _words(text: Column) -> Column:
+    for c in BLANKS[1:]:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " ", -1), "")
 
 
 def line_fails(line: Column, symbol_share: float = 0.1, bars: int = 3) -> Column:
     """Punctuation (no sentence end), shouting, symbol, navigation (bars between items) and
     boilerplate rules."""
-    shouts = (F.upper(line) == line) & (F.lower(line) != line)
-    symbols = _without(line, SYMBOLS) > symbol_share * F.length(line)
-    navigation = _without(line, "|»›") >= bars
-    return ~line.rlike(TERMINAL) | shouts | symbols | navigation | F.lower(line).rlike(BOILERPLATE)
-
-
-def judged(docs: DataFrame, text_col: str = "text", max_lost: float = 0.5, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
-    """docs with one struct column more, ``rules``: the base measures, base_failed, the text of the
-    lines that stay, the share of characters lost, and kept."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
-    first = docs.withColumn("rules", F.struct(text.alias("text"), words.alias("words"), lines.alias("lines")))
-    r = F.col("rules")
-    stay = F.filter(r["lines"], lambda x: ~line_fails(x))
-    chars = lambda a: F.length(F.translate(F.array_join(a, ""), BLANKS, ""))
-    measured = F.struct(
-        F.size(r["words"]).cast("bigint").alias("n_words"),
-        F.length(F.translate(r["text"], BLANKS, "")).cast("bigint").alias("word_chars"),
-        _without(r["text"], SYMBOLS).cast("bigint").alias("n_symbols"),
-        (F.size(r["lines"]) - F.size(F.array_distinct(r["lines"]))).cast("bigint").alias("n_dup_lines"),
-        _repeat_words(r["words"]).alias("n_repeat_words"),
-        stay.alias("stay"),
-    )
-    second = first.withColumn("rules", measured)
-    base_failed = (r["n_words"] < min_words) | (100 * r["n_repeat_words"] > max_repeat_percent * r["n_words"])
-    lost = r["word_chars"] - chars(r["stay"])
-    return second.withColumn(
-        "rules",
-        F.struct(*(r[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), base_failed.alias("base_failed"), F.array_join(r["stay"], "\n").alias("clean"), lost.alias("lost")),
-    ).withColumn("rules", r.withField("kept", ~r["base_failed"] & (r["lost"] <= max_lost * r["word_chars"])))
+
+    def rules(lower: Column) -> Column:
+        shouts = (lower != line) & (F.upper(line) == line)
+        symbols = _count(line, SYMBOLS) > symbol_share * F.length(line)
+        navigation = _count(line, "|»›") >= bars
+        found = F.contains(lower, F.lit(BOILERPLATE[0]))
+        for phrase in BOILERPLATE[1:]:
+            found = found | F.contains(lower, F.lit(phrase))
+        return shouts | symbols | navigation | found
+
+    return ~F.right(line, F.lit(16)).rlike(TERMINAL) | _let(F.lower(line), rules)
+
+
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """Column names that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def judged(docs: DataFrame, text_col: str = "text", max_lost: float = 0.5, min_words: int = 10, max_repeat_percent: int = 20) -> tuple[DataFrame, str]:
+    """docs with one struct column more, and its name: the base measures, base_failed, the text of
+    the lines that stay, the characters lost with the others, and kept."""
+    text, words, lines, stay, out = _free(docs, "q_text", "q_words", "q_lines", "q_stay", "rules")
+    # each costly value is a column of its own: used more than once, it is not computed anew
+    df = docs.withColumn(text, F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    df = df.withColumns({words: _words(F.col(text)), lines: F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))})
+    df = df.withColumn(stay, F.filter(lines, lambda x: ~line_fails(x)))
+    chars = lambda c: F.length(c) - _count(c, BLANKS)
+    names = dict(zip(MEASURES, _free(docs, *(f"q_{m}" for m in MEASURES))))
+    left, failed = _free(docs, "q_left", "q_failed")
+    df = df.withColumns({
+        names["n_words"]: F.size(words).cast("bigint"),
+        names["word_chars"]: chars(F.col(text)).cast("bigint"),
+        names["n_symbols"]: _count(F.col(text), SYMBOLS).cast("bigint"),
+        names["n_dup_lines"]: (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint"),
+        names["n_repeat_words"]: _repeat_words(F.col(words)),
+        left: F.array_join(stay, "\n"),
+    })
+    df = df.withColumn(failed, (F.col(names["n_words"]) < min_words) | (100 * F.col(names["n_repeat_words"]) > max_repeat_percent * F.col(names["n_words"])))
+    lost = F.col(names["word_chars"]) - chars(F.col(left))
+    kept = ~F.col(failed) & (lost <= max_lost * F.col(names["word_chars"]))
+    rules = F.struct(*(F.col(names[m]).alias(m) for m in MEASURES), F.col(failed).alias("base_failed"), F.col(left).alias("clean"), lost.alias("lost"), kept.alias("kept"))
+    return df.select(*(F.col(f"`{c}`") for c in docs.columns), rules.alias(out)), out
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", *(f"rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
+    found, rules = judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *(f"{rules}.{c}" for c in (*MEASURES, "base_failed", "kept")))
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, with the lines that failed removed and n_chars counted anew."""
-    columns = [c for c in docs.columns if c != "rules"]
-    found = judged(docs.select(*(f"`{c}`" for c in columns))).where("rules.kept")
-    return found.withColumn("text", F.col("rules.clean")).withColumn("n_chars", F.length("text").cast("bigint")).select(*(f"`{c}`" for c in columns))
+    found, rules = judged(docs)
+    found = found.where(f"{rules}.kept").withColumn("text", F.col(f"{rules}.clean")).withColumn("n_chars", F.length("text").cast("bigint"))
+    return found.select(*(f"`{c}`" for c in docs.columns))
 
 
 ORACLE = r"""
@@ -114,7 +144,7 @@ r AS (SELECT rid, CAST(sum(hit) AS BIGINT) AS n_repeat_words FROM v GROUP BY rid
 l AS (SELECT rid, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 k AS (SELECT rid, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
       len(regexp_replace(array_to_string(list_filter(lines, lambda x: NOT (
-        NOT regexp_matches(x, '[.!?\x{2026}:;][\x{22}''\x{201D}\x{2019}\x{BB})\]]*[\x20\x09-\x0D]*$')
+        NOT regexp_matches(x[-16:], '[.!?\x{2026}:;][\x{22}''\x{201D}\x{2019}\x{BB})\]]*[\x20\x09-\x0D]*$')
         OR (upper(x) = x AND lower(x) <> x)
         OR len(x) - len(translate(x, '#*$%&|<>', '')) > 0.1 * len(x)
         OR len(x) - len(translate(x, '|' || chr(187) || chr(8250), '')) >= 3

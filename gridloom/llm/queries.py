@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import imatch, mixing, paragraphs, quality, simhash, tokenbin, tokencount, toxicity, unigram
+from gridloom.llm import htmltrees, imatch, mixing, paragraphs, quality, simhash, tokenbin, tokencount, toxicity, unigram
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_quality": quality.op7_quality,
     "op8_imatch": imatch.op8_imatch,
     "op9_tokencount": tokencount.op9_tokencount,
+    "op10_html": htmltrees.op10_html,
 }
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
