@@ -169,56 +169,64 @@ _KIND_WORDS = [
 ]
 _TAGS = ("html", "body", "div", "section", "article", "main", "p", "h1", "h2", "h3", "ul", "ol", "li", "a", "span", "nav", "header", "footer", "aside", "form", "table", "td", "blockquote", "pre", "figure", "b", "em", "strong", "i", "label", "dl", "details")
 _TAG_NO = {t: k for k, t in enumerate(_TAGS)}
+_PARAGRAPHS = frozenset("p h1 h2 h3 blockquote pre".split())
 _DROPPED_TAGS = frozenset("nav footer aside form dialog menu".split())
 
 
-def features(page: Page) -> np.ndarray:
-    """A row for each element."""
-    n = len(page.tag)
-    parent = np.array(page.parent)
-    chars, links, ends, words = (np.zeros(n) for _ in range(4))
-    for node, text in page.pieces:
-        if text and not text.isspace():
-            chars[node] += len(text)
-            ends[node] += text.count(". ") + text.count(".") + text.count("!") + text.count("?") + text.count(",")
-            words[node] += text.count(" ") + 1
-    tags = page.tag
-    kids, paras, depth, place = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
-    below, in_link, in_para, in_list = np.ones(n), np.zeros(n, bool), np.zeros(n), np.zeros(n)
-    for i in range(1, n):
-        p = page.parent[i]
-        depth[i], place[i] = depth[p] + 1, kids[p]
-        kids[p] += 1
-        in_link[i] = in_link[p] or tags[i] == "a"
-        if tags[i] in NEVER:
-            chars[i] = 0
-    links[:] = np.where(in_link, chars, 0)
-    own = chars.copy()
-    in_para[:] = [1.0 if t in ("p", "h1", "h2", "h3", "blockquote", "pre") else 0.0 for t in tags]
-    in_list[:] = [1.0 if t == "li" else 0.0 for t in tags]
+def features(pages: list[Page]) -> np.ndarray:
+    """A row for each element of the pages, one page after another."""
+    tags = [t for p in pages for t in p.tag]
+    n = len(tags)
+    starts = np.cumsum([0, *(len(p.tag) for p in pages)])
+    above = [x + o if x >= 0 else o for p, o in zip(pages, starts.tolist()) for x in p.parent]  # a root is its own parent
+    roots = set(starts.tolist())
+    chars, ends, words = [0] * n, [0] * n, [0] * n
+    for p, o in zip(pages, starts.tolist()):
+        for node, text in p.pieces:
+            if text and not text.isspace():
+                i = node + o
+                chars[i] += len(text)
+                ends[i] += text.count(".") + text.count(". ") + text.count("!") + text.count("?") + text.count(",")
+                words[i] += text.count(" ") + 1
+    kids, depth, place, in_link = [0] * n, [0] * n, [0] * n, [False] * n
+    kind = np.zeros((n, len(_KINDS) + 2), np.float32)
+    above_bad, above_tag, above_good = [0] * n, [0] * n, [0] * n
+    i = 0
+    for p in pages:
+        for a in p.attr:
+            t, up = tags[i], above[i]
+            bad = good = False
+            if a:
+                found = set(_TOKEN.findall(a))
+                kind[i, :-2] = [not found.isdisjoint(w) for w in _KIND_WORDS]
+                good, bad = len(found & _GOOD), len(found & _BAD)
+                kind[i, -2], kind[i, -1] = good, bad
+            if i != up:
+                depth[i], place[i] = depth[up] + 1, kids[up]
+                kids[up] += 1
+                in_link[i] = in_link[up] or t == "a"
+                above_bad[i] = above_bad[up] + (bad > 0)
+                above_tag[i] = above_tag[up] + (t in _DROPPED_TAGS)
+                above_good[i] = above_good[up] + (good > 0 or t == "article" or t == "main")
+                if t in NEVER:
+                    chars[i] = 0
+            i += 1
+    own = np.array(chars, float)
+    links = [c if x else 0 for c, x in zip(chars, in_link)]
+    below, in_para, in_list = [1] * n, [1 if t in _PARAGRAPHS else 0 for t in tags], [1 if t == "li" else 0 for t in tags]
     for i in range(n - 1, 0, -1):
-        p = page.parent[i]
-        chars[p] += chars[i]
-        links[p] += links[i]
-        ends[p] += ends[i]
-        words[p] += words[i]
-        below[p] += below[i]
-        in_para[p] += in_para[i]
-        in_list[p] += in_list[i]
-    kind = np.zeros((n, len(_KINDS) + 2))
-    for i, a in enumerate(page.attr):
-        if a:
-            t = set(_TOKEN.findall(a))
-            kind[i, :-2] = [bool(t & w) for w in _KIND_WORDS]
-            kind[i, -2], kind[i, -1] = len(t & _GOOD), len(t & _BAD)
-    up = np.maximum(parent, 0)
-    above_bad, above_tag, above_good = np.zeros(n), np.zeros(n), np.zeros(n)
-    for i in range(1, n):
-        p = page.parent[i]
-        above_bad[i] = above_bad[p] + (kind[i, -1] > 0)
-        above_tag[i] = above_tag[p] + (tags[i] in _DROPPED_TAGS)
-        above_good[i] = above_good[p] + (kind[i, -2] > 0 or tags[i] in ("article", "main"))
-    total = max(chars[0], 1.0)
+        if i not in roots:
+            up = above[i]
+            chars[up] += chars[i]
+            links[up] += links[i]
+            ends[up] += ends[i]
+            words[up] += words[i]
+            below[up] += below[i]
+            in_para[up] += in_para[i]
+            in_list[up] += in_list[i]
+    up = np.array(above)
+    chars, links, ends, words, kids, place, below, in_para, in_list = (np.array(x, float) for x in (chars, links, ends, words, kids, place, below, in_para, in_list))
+    total = np.maximum(np.repeat(chars[starts[:-1]], np.diff(starts)), 1.0)
     base = np.column_stack([
         [_TAG_NO.get(t, -1) for t in tags], depth, kids, place, place / np.maximum(kids[up], 1), np.log1p(chars), chars / total, links / np.maximum(chars, 1), ends / np.maximum(words, 1),
         chars / below, np.log1p(own), in_para, in_list, in_para / below, np.log1p(words), [t in _DROPPED_TAGS for t in tags], [t == "header" for t in tags], [t in ("article", "main") for t in tags], above_bad, above_tag, above_good,
@@ -250,7 +258,7 @@ class Forest:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, ridge: float = 1.0) -> Forest:
+def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 40, depth: int = 4, rate: float = 0.2, bins: int = 32, ridge: float = 1.0) -> Forest:
     """Gradient-boosted trees, second order, on quantile bins."""
     n, m = x.shape
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for j in range(m)]
@@ -450,19 +458,19 @@ class _Marked(Page):
 
 
 @lru_cache(1)
-def forest(seed: int = 11, pages: int = 1500) -> Forest:
+def forest(seed: int = 11, pages: int = 800) -> Forest:
     """Fitted on template pages, the same each time."""
     maker = _Maker(random.Random(seed))
     made = [_Marked(maker.page()) for _ in range(pages)]
-    x = np.concatenate([features(p)[1:] for p in made])
-    y = np.concatenate([np.array(p.content[1:], float) for p in made])
+    x = features(made)
+    y = np.array([c for p in made for c in p.content], float)
     weight = 1 + np.minimum(x[:, 5], 6)  # elements with text below them matter more
     return boost(x, y, weight)
 
 
 def extract(source: str, trees: Forest) -> str:
     page = Page(source)
-    return text_of(page, keep(page, trees.log_odds(features(page)))) if len(page.tag) > 1 else text_of(page, [True])
+    return text_of(page, keep(page, trees.log_odds(features([page])))) if len(page.tag) > 1 else text_of(page, [True])
 
 
 def extracted(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
@@ -477,7 +485,7 @@ def extracted(pages: DataFrame, html_col: str = "html", out_col: str = "text") -
                 part = batch.slice(at, 64)
                 made = [Page(s) for s in part.column(0).to_pylist()]
                 sizes = [len(p.tag) for p in made]
-                odds = np.split(trees.log_odds(np.concatenate([features(p) for p in made])), np.cumsum(sizes)[:-1])
+                odds = np.split(trees.log_odds(features(made)), np.cumsum(sizes)[:-1])
                 texts = [text_of(p, keep(p, o)) for p, o in zip(made, odds)]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.string())], names=[*keep_cols, out_col])
 
