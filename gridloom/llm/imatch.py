@@ -22,14 +22,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import LOWER, UPPER, WORD, ascii_lower, partitions, stored, table
+from gridloom.llm._common import BLANKS, partitions, stored, table
 
 SLOTS, FAMILIES, DIGITS = 16, 4, 8
 LOW, HIGH = 0.001, 0.02
 
 
 def terms(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)))
+    """Distinct lower-cased words; replacing blanks is much cheaper than a regex."""
+    text = F.lower(text)
+    for c in BLANKS[1:]:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_distinct(F.array_remove(F.split(text, " ", -1), ""))
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -48,13 +52,9 @@ def _kept(h: Column, family: int) -> Column:
     return F.substring(h, 1, family).rlike(f"^[01]{{{family}}}$") if family else F.lit(True)
 
 
-def _signature(found: Column) -> Column:
-    """Eight digits a slot of the sorted (term, slots) entries."""
-    def slot(k: Column) -> Column:
-        mine = F.transform(F.filter(found, lambda e: F.array_contains(e["slots"], k)), lambda e: e["term"])
-        return F.when(F.size(mine) == 0, "0" * DIGITS).otherwise(F.substring(F.md5(F.array_join(mine, " ")), 1, DIGITS))
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SLOTS * FAMILIES - 1)), slot), "")
+def _signature(parts: Column) -> Column:
+    """The fingerprint of a map of subset number to hash; absent subsets are zeros."""
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SLOTS * FAMILIES - 1)), lambda k: F.coalesce(F.try_element_at(parts, k), F.lit("0" * DIGITS))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -110,21 +110,23 @@ def fingerprinted(docs: DataFrame, low: float = LOW, high: float = HIGH) -> Data
     placed = _with_next(docs).withColumn("n", F.row_number().over(order)).withColumn("next", F.coalesce(F.lead("text").over(order), F.lit("")))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next"), F.lit(1), half))
     both = placed.select("grp", "n", "wrap", "doc_id", n.cast("bigint").alias("n_chars"), "text", edited.alias("edited"))
-    both = both.withColumn("own", terms(F.col("text"))).withColumn("other", terms(F.col("edited"))).withColumn("edited_sha256", F.sha2("edited", 256))
+    both = both.withColumn("own", terms(F.col("text"))).withColumn("other", terms(F.col("edited"))).withColumn("edited_sha256", F.sha2("edited", 256)).drop("text", "edited")
     all_hash = lambda c: F.substring(F.md5(F.array_join(F.array_sort(c), " ")), 1, DIGITS)
-    both = both.withColumn("own_all", all_hash("own")).withColumn("other_all", all_hash("other")).drop("text", "edited")
-    # one row a term, marked 1 for the text, 2 for the edited text, 3 for both; an empty term keeps the document
-    marked = F.concat(
-        F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("in"))),
-        F.transform(F.array_intersect("own", "other"), lambda t: F.struct(t.alias("term"), F.lit(3).alias("in"))),
-        F.transform(F.array_except("own", "other"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("in"))),
-        F.transform(F.array_except("other", "own"), lambda t: F.struct(t.alias("term"), F.lit(2).alias("in"))),
-    )
-    keys = ["grp", "n", "wrap", "doc_id", "n_chars", "edited_sha256", "own_all", "other_all"]
-    flat = both.select(*keys, F.explode(marked).alias("m")).select(*keys, "m.term", "m.in").join(terms_of, "term", "left").where("slots is not null or in = 0")
-    found = flat.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("in") > 0, F.struct("term", "slots", "in")))).alias("found"))
-    of = lambda bit, rest: F.when(F.exists("found", lambda e: e["in"].bitwiseAND(bit) > 0), _signature(F.filter("found", lambda e: e["in"].bitwiseAND(bit) > 0))).otherwise(F.repeat(F.col(rest), SLOTS * FAMILIES))
-    signed = found.select("grp", "n", "wrap", "doc_id", "n_chars", "edited_sha256", of(1, "own_all").alias("fingerprint"), of(2, "other_all").alias("edited_fingerprint"))
+    both = both.withColumn("own_all", all_hash(F.col("own"))).withColumn("other_all", all_hash(F.col("other")))
+    info = F.struct("wrap", "doc_id", "n_chars", "edited_sha256", "own_all", "other_all")
+    # one row a term, marked 1 for the text, 2 for the edited text, 3 for both; an empty term carries the document
+    entry = lambda t, m: F.struct(t.alias("term"), F.lit(m).alias("in"))
+    marked = F.concat(F.array(entry(F.lit(""), 0)), F.transform(F.array_intersect("own", "other"), lambda t: entry(t, 3)), F.transform(F.array_except("own", "other"), lambda t: entry(t, 1)), F.transform(F.array_except("other", "own"), lambda t: entry(t, 2)))
+    flat = both.select("grp", "n", info.alias("info"), F.explode(marked).alias("m")).select("grp", "n", F.when(F.col("m.in") == 0, F.col("info")).alias("info"), "m.term", "m.in")
+    flat = flat.join(terms_of, "term", "left").where("slots is not null or in = 0").select("grp", "n", "info", "term", "in", F.explode_outer("slots").alias("slot"))
+    # the rows of a range stay in its partition: neither grouping shuffles
+    hashed = lambda bit: F.array_sort(F.collect_list(F.when(F.col("in").bitwiseAND(bit) > 0, F.col("term"))))
+    digest = lambda c: F.when(F.size(c) > 0, F.substring(F.md5(F.array_join(c, " ")), 1, DIGITS))
+    slots = flat.groupBy("grp", "n", "slot").agg(F.first("info", True).alias("info"), hashed(1).alias("own"), hashed(2).alias("other")).select("grp", "n", "info", "slot", digest("own").alias("own"), digest("other").alias("other"))
+    held = lambda c: F.map_from_entries(F.collect_list(F.when(F.col("slot").isNotNull() & F.col(c).isNotNull(), F.struct("slot", c))))
+    found = slots.groupBy("grp", "n").agg(F.first("info", True).alias("info"), held("own").alias("own"), held("other").alias("other"))
+    of = lambda c: F.when(F.size(c) > 0, _signature(F.col(c))).otherwise(F.repeat(F.col(f"info.{c}_all"), SLOTS * FAMILIES))
+    signed = found.select("grp", "n", *(f"info.{c}" for c in ("wrap", "doc_id", "n_chars", "edited_sha256")), of("own").alias("fingerprint"), of("other").alias("edited_fingerprint"))
     later = signed.withColumn("next", F.lead("fingerprint").over(Window.partitionBy("grp").orderBy("n"))).where("wrap = 0")
     return later.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next")).alias("near_next"))
 
@@ -145,8 +147,8 @@ _SIG = f"""list_reduce(list_prepend('', list_transform(range({SLOTS * FAMILIES})
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id NULLS FIRST, coalesce(text, '')) AS r, count(*) OVER () AS n FROM documents),
 e AS (SELECT d.r, d.doc_id, d.text, d.n, x.r AS next_r, d.text[1:len(d.text) - len(d.text) // 2] || x.text[1:len(d.text) // 2] AS edited FROM d JOIN d x ON x.r = d.r % d.n + 1),
-s AS (SELECT r, 0 AS ed, list_sort(list_distinct(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+'))) AS ts FROM e
-  UNION ALL SELECT r, 1, list_sort(list_distinct(regexp_extract_all(translate(edited, '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+'))) FROM e),
+s AS (SELECT r, 0 AS ed, list_sort(list_distinct(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+'))) AS ts FROM e
+  UNION ALL SELECT r, 1, list_sort(list_distinct(regexp_extract_all(lower(edited), '[^\x20\x09-\x0D]+'))) FROM e),
 t AS (SELECT r, ed, unnest(ts) AS term FROM s),
 band AS (SELECT term FROM t WHERE ed = 0 GROUP BY term HAVING count(*) >= {LOW} * (SELECT count(*) FROM documents) AND count(*) <= greatest({HIGH} * (SELECT count(*) FROM documents), 1)),
 lx AS (SELECT term, list_filter([{', '.join(f"CASE WHEN regexp_matches(md5(term)[1:{f}], '^[01]{{{f}}}$') THEN {f * SLOTS} + (instr('0123456789abcdef', md5(term)[{32 - f}:{32 - f}]) - 1) END" if f else f"(instr('0123456789abcdef', md5(term)[32:32]) - 1)" for f in range(FAMILIES))}], lambda z: z IS NOT NULL) AS slots FROM band),
