@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.llm._common import table
 
@@ -476,7 +477,7 @@ def extract(source: str, trees: Forest) -> str:
 def extracted(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """pages with the html column replaced by the main text."""
     keep_cols = [c for c in pages.columns if c not in (html_col, out_col)]
-    schema = pages.select(*(f"`{c}`" for c in keep_cols)).schema.add(out_col, "string")
+    schema = pages.select(*(f"`{c}`" for c in keep_cols)).schema.add(out_col, T.StringType())
     trees = forest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.llm._common import table
 from gridloom.llm._units import encoded, gather, slices, spread, totals
@@ -289,7 +290,7 @@ def _bytes(model: Unigram, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
 def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """docs with the text column replaced by array<int> out_col of piece ids."""
     keep = [c for c in docs.columns if c not in (text_col, out_col)]
-    schema = docs.select(*(f"`{c}`" for c in keep)).schema.add(out_col, "array<int>")
+    schema = docs.select(*(f"`{c}`" for c in keep)).schema.add(out_col, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = public_model(path)
@@ -305,7 +306,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "i
 def decode(coded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
     """coded with the ids column replaced by the text; a null list gives an empty text."""
     keep = [c for c in coded.columns if c not in (ids_col, out_col)]
-    schema = coded.select(*(f"`{c}`" for c in keep)).schema.add(out_col, "string")
+    schema = coded.select(*(f"`{c}`" for c in keep)).schema.add(out_col, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = public_model(path)
