@@ -1 +1 @@
-"""functions."""
+"""Column functions: dates, projections, functions of time."""

@@ -1 +1 @@
-"""operators."""
+"""Operators on rasters, stacks, lines and profiles."""

@@ -1 +1 @@
-"""plans."""
+"""Session and registered queries."""
