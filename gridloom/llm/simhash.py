@@ -9,7 +9,8 @@ small or until at most three bits are free, when all members are linked by const
 is lost that way.
 
 Nulls count as empty texts; an empty text has fingerprint zero and is linked like any other.
-Repeated rows keep their own output rows. Columns other than the id and the text are ignored.
+Repeated rows keep their own output rows; rows without an id
+take part, but give no component their id. Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -175,7 +176,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     distinct = marked.groupBy("fp").agg(F.min("id").alias("first_id"))
     groups = connected_components(links(distinct.select("fp"), distance))
     classes = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = classes.where("component <> fp or first_id is not null").groupBy("component").agg(F.min("first_id").alias("component_id"))
+    least = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = classes.select("fp", "component").join(least, "component").select("fp", "component_id")
     return marked.join(named, "fp").select("id", "fp", "component_id")
 

@@ -212,7 +212,8 @@ def test_passages_in_the_middle_are_found_and_cut(spark):
     texts = [f"{w(30)} {passage} {w(20)}", w(200), f"{w(7)}\n{w(90)} {passage} {w(3)}", f"{w(5)}\n{line}\n{w(9)}", f"{w(8)}\n{' '.join(near)}\n{w(4)}", passage, w(3)]
     docs = docs_of(spark, texts)
     got = {(x["doc_id"], x["copy_of"]) for x in paragraphs.repeats(docs).collect()}
-    assert got == {(2, 0), (5, 0), (4, 3)}
+    # windows at a text's ends are chosen besides: 5 may share one with 2 that 0 has not chosen, a true repeat too
+    assert {(2, 0), (5, 0), (4, 3)} <= got <= {(2, 0), (5, 0), (4, 3), (5, 2)}
     out = {x["doc_id"]: x["text"] for x in paragraphs.stage_substring(spark, docs, SF).collect()}
     assert out[0] == texts[0] and out[1] == texts[1] and out[3] == texts[3] and out[6] == texts[6]
     assert passage not in out[2] and "other" not in out[4].split() and out[4].startswith(texts[4].split("\n")[0])
