@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import WORD, stored, table
+from gridloom.llm._common import WORD, stored, table, unused
 
 LEVELS = ("domain", "lang", "source")
 
@@ -137,11 +137,13 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A leaf's choice is a threshold of the hash, so texts aren't shuffled."""
     measured, leaves = plan(docs)
     last = _in_end_bucket(measured, leaves, PRODUCTION).groupBy(*LEVELS).agg(F.max("h").alias("end_hash"))
-    cuts = stored(leaves.join(last, list(LEVELS), "left").select(*(F.col(c).alias(f"mix_{c}") for c in LEVELS), F.col("full").alias("mix_full"), F.col("end_hash").alias("mix_end")), "cuts")
-    keys = [(F.col(f"mix_{c}") == leaf) for c, leaf in zip(LEVELS, _leaf(docs))]
+    names = unused(docs, *(f"mix_{c}" for c in (*LEVELS, "full", "end", "times", "epoch")))
+    leaf, (full, end, times, epoch) = names[:3], names[3:]
+    cuts = stored(leaves.join(last, list(LEVELS), "left").select(*(F.col(c).alias(n) for c, n in zip(LEVELS, leaf)), F.col("full").alias(full), F.col("end_hash").alias(end)), "cuts")
+    keys = [F.col(n) == c for n, c in zip(leaf, _leaf(docs))]
     met = docs.where(F.coalesce("text", F.lit("")).rlike(WORD)).join(cuts, keys[0] & keys[1] & keys[2])
-    times = F.col("mix_full") + F.when(_hash(PRODUCTION, F.col("mix_full") + 1) <= F.col("mix_end"), 1).otherwise(0)
-    return met.withColumn("mix_times", times).where("mix_times > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(1).cast("bigint"), "mix_times"))).select(*(f"`{c}`" for c in docs.columns))
+    n = F.col(full) + F.when(_hash(PRODUCTION, F.col(full) + 1) <= F.col(end), 1).otherwise(0)
+    return met.withColumn(times, n).where(F.col(times) > 0).withColumn(epoch, F.explode(F.sequence(F.lit(1).cast("bigint"), times))).select(*(f"`{c}`" for c in docs.columns))
 
 
 def _deal_sql(name: str, nodes: str, parents: str, key: str, weight: str) -> str:

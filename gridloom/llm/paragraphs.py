@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import WORD, stored, table
+from gridloom.llm._common import WORD, stored, table, unused
 from gridloom.llm._units import slices
 from gridloom.llm.components import connected_components
 
@@ -88,7 +88,8 @@ class Words:
         inside = ~_IS_SPACE[data]
         edge = inside.copy()
         edge[1:] &= ~inside[:-1]
-        edge[np.minimum(self.offsets[:-1], len(data) - 1)] = inside[np.minimum(self.offsets[:-1], len(data) - 1)] if len(data) else False
+        begins = self.offsets[:-1][self.offsets[:-1] < len(data)]  # empty texts at the end begin nowhere
+        edge[begins] = inside[begins]
         self.start = np.flatnonzero(edge)
         stop = np.zeros(len(data) + 1, bool)
         stop[1:] = inside
@@ -313,9 +314,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def stage_substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without their repeated spans; those left without a word go."""
-    spans = repeats(docs).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("cut_spans")).withColumnRenamed("doc_id", "cut_id")
+    cut_id, cut_spans = unused(docs, "cut_id", "cut_spans")
+    spans = repeats(docs).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias(cut_spans)).withColumnRenamed("doc_id", cut_id)
     others = [c for c in docs.columns if c != "text"]
-    met = docs.join(spans, F.col("doc_id") == F.col("cut_id"), "left").select("text", "cut_spans", *(f"`{c}`" for c in others))
+    met = docs.join(spans, F.col("doc_id") == F.col(cut_id), "left").select("text", cut_spans, *(f"`{c}`" for c in others))
     schema = docs.select("text", *(f"`{c}`" for c in others)).schema
     done = met.mapInArrow(_cut, schema).where(F.col("text").rlike(WORD)).withColumn("n_chars", F.length("text").cast("bigint"))
     return done.select(*(f"`{c}`" for c in docs.columns))

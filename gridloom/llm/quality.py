@@ -13,11 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import WORD, table
+from gridloom.llm._common import BLANKS, WORD, table, unused
 
 #: Characters counted as symbols, for both engines.
 SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\x0c\r"
 #: A line of these phrases is boilerplate.
 BOILERPLATE = ("cookie", "javascript", "lorem ipsum", "all rights reserved", "privacy policy", "terms of use", "terms of service", "click here", "subscribe now", "subscribe to", "sign up for", "log in to", "licensed under", "released under the", "powered by")
 #: How a sentence may end.
@@ -80,31 +79,20 @@ def line_fails(line: Column, symbol_share: float = 0.1, bars: int = 3) -> Column
     return ~F.right(line, F.lit(16)).rlike(TERMINAL) | _let(F.lower(line), rules)
 
 
-def _free(docs: DataFrame, *names: str) -> list[str]:
-    """Column names that docs doesn't have."""
-    taken = {c.lower() for c in docs.columns}
-    out = []
-    for n in names:
-        while n.lower() in taken:
-            n = f"_{n}"
-        out.append(n)
-    return out
-
-
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def judged(docs: DataFrame, text_col: str = "text", max_lost: float = 0.5, min_words: int = 10, max_repeat_percent: int = 20) -> tuple[DataFrame, str]:
     """docs with one struct column more, and its name: the base measures, base_failed, the text of
     the lines that stay, the characters lost with the others, and kept."""
-    text, words, lines, stay, out = _free(docs, "q_text", "q_words", "q_lines", "q_stay", "rules")
+    text, words, lines, stay, out = unused(docs, "q_text", "q_words", "q_lines", "q_stay", "rules")
     # each costly value is a column of its own: used more than once, it is not computed anew
     df = docs.withColumn(text, F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     df = df.withColumns({words: _words(F.col(text)), lines: F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))})
     df = df.withColumn(stay, F.filter(lines, lambda x: ~line_fails(x)))
     chars = lambda c: F.length(c) - _count(c, BLANKS)
-    names = dict(zip(MEASURES, _free(docs, *(f"q_{m}" for m in MEASURES))))
-    left, failed = _free(docs, "q_left", "q_failed")
+    names = dict(zip(MEASURES, unused(docs, *(f"q_{m}" for m in MEASURES))))
+    left, failed = unused(docs, "q_left", "q_failed")
     df = df.withColumns({
         names["n_words"]: F.size(words).cast("bigint"),
         names["word_chars"]: chars(F.col(text)).cast("bigint"),
@@ -128,8 +116,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, with the lines that failed removed and n_chars counted anew."""
     found, rules = judged(docs)
-    found = found.where(f"{rules}.kept").withColumn("text", F.col(f"{rules}.clean")).withColumn("n_chars", F.length("text").cast("bigint"))
-    return found.select(*(f"`{c}`" for c in docs.columns))
+    # an explosion, not a filter: a filter would be pushed below and take every measure's expression with it
+    kept = F.when(F.col(f"{rules}.kept"), F.array(F.col(f"{rules}.clean"))).otherwise(F.array().cast("array<string>"))
+    found = found.select(*(f"`{c}`" for c in docs.columns if c not in ("text", "n_chars")), F.explode(kept).alias("text"))
+    return found.withColumn("n_chars", F.length("text").cast("bigint")).select(*(f"`{c}`" for c in docs.columns))
 
 
 ORACLE = r"""

@@ -26,6 +26,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +37,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm._common import partitions, shared_dir, stored, table
-from gridloom.llm._units import Memo, encoded, slices, spread, totals
+from gridloom.llm._units import encoded, gather, slices, totals
 
 MAGIC, CHUNK, END, LEVEL = b"GLBP0001", 1 << 16, 0, 3
 _CUT = "\ue000"
-#: A space before white space or at the end is no safe cut.
-_ODD = "[ ](?:[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|$)|" + _CUT
+#: A space before white space or at the end is no safe cut, nor a comma or stop after anything but a letter or digit.
+_ODD = "(?:^|[^\\pL\\pN])[.,]|[ ](?:[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|$)|" + _CUT
 
 
 def to_planes(ids: np.ndarray) -> list[bytes]:
@@ -147,9 +148,33 @@ def _fs(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+class Known:
+    """Ids of the first ``most`` distinct units met, as Arrow and NumPy arrays: looked up for all units of
+    a slice at once. Frequent units come early; later ones are encoded when they come."""
+
+    def __init__(self, most: int = 300_000):
+        self.most = most
+        self.units, self.ids, self.sizes = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def of(self, units: pa.Array, encode) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the units, and how many each has; encode(list) gives (ids, sizes) of those not known."""
+        at = pc.index_in(units, value_set=self.units)
+        lost = at.is_null().to_numpy(zero_copy_only=False)
+        new = units.filter(pa.array(lost))
+        found, n = encode(new)
+        ids, sizes = np.concatenate([self.ids, found]), np.concatenate([self.sizes, n])
+        where = np.zeros(len(units), np.int64)
+        where[~lost] = at.drop_null().to_numpy()
+        where[lost] = np.arange(len(self.sizes), len(sizes))
+        if len(self.units) < self.most:
+            self.units, self.ids, self.sizes = pa.concat_arrays([self.units, new.cast(pa.string())]), ids, sizes
+        return gather(ids, sizes, where)
+
+
 class Coder:
     """The ids of texts by the tokenizers library, each distinct unit once. A unit begins at a space
-    before a visible character: pre-tokens never cross that place."""
+    before a visible character, or at a comma or full stop after a letter or digit: pre-tokens never
+    cross those places."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -157,18 +182,26 @@ class Coder:
 
         self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.memo = Memo(self._encode)
+        self.known = Known()
 
-    def _encode(self, units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.lib.encode_batch_fast(units, add_special_tokens=False)]
+    def _encode(self, units: pa.Array, most: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes, some units at a time: the library's encodings take far more room than their ids."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for k in range(0, len(units), most):
+            made = [e.ids for e in self.lib.encode_batch_fast(units.slice(k, most).to_pylist(), add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, made), np.int64, len(made)))
+            ids.append(np.fromiter(chain.from_iterable(made), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         odd = pc.match_substring_regex(texts, _ODD)
         for s in self.special:
             odd = pc.or_(odd, pc.match_substring(texts, s))
-        plain = pc.if_else(odd, pa.scalar("", texts.type), texts)
-        sizes, units, index = encoded(pc.split_pattern(pc.replace_substring(plain, " ", _CUT + " "), _CUT))
-        ids, n = spread(self.memo.all(units.to_pylist()), index, 4, "<u4")
+        marked = pc.if_else(odd, pa.scalar("", texts.type), texts)
+        for cut in " ,.":
+            marked = pc.replace_substring(marked, cut, _CUT + cut)
+        sizes, units, index = encoded(pc.split_pattern(marked, _CUT))
+        ids, n = gather(*self.known.of(units, self._encode), index)
         lengths = totals(n, sizes)
         odd = odd.to_numpy(zero_copy_only=False).astype(bool)
         if odd.any():
@@ -193,7 +226,7 @@ def write(docs: DataFrame, path: str, folder: str, text_col: str = "text", id_co
         part, attempt = context.partitionId(), context.taskAttemptId()
         writer = sink = None
         for batch in batches:
-            for piece in slices(batch, 1):
+            for piece in slices(batch, 1, 8 << 20):
                 if writer is None:
                     files.create_dir(root, recursive=True)
                     sink = files.open_output_stream(f"{root}/_part-{part:06d}-{attempt}")

@@ -250,9 +250,9 @@ def model_path() -> str:
 
 
 def split_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Units of each text as a list array, and which texts need the long way instead (runs of
-    spaces, or marker characters of their own: their list is empty). An empty unit stands for nothing."""
-    odd = pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, MARK))
+    """Units of each text as a list array, and which texts need the long way instead (a space at
+    the start, runs of spaces, or marker characters of their own: their list is empty). An empty unit stands for nothing."""
+    odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.match_substring(texts, MARK))
     plain = pc.if_else(odd, pa.scalar("", texts.type), texts)
     marked = pc.replace_substring(pc.replace_substring(plain, " ", " " + MARK), "\n", " \n ")
     marked = pc.if_else(pc.equal(plain, ""), pa.scalar("", texts.type), pc.binary_join_element_wise(MARK, marked, ""))
@@ -266,11 +266,23 @@ def flat(units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def solved(model: Unigram, data: np.ndarray, offsets: np.ndarray, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """model.solve in parts of at most so many bytes (or one unit), which bounds its working memory."""
+    ids, sizes, at = [np.zeros(0, "<i4")], [np.zeros(0, np.int64)], 0
+    while at < len(offsets) - 1:
+        upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+        found = model.solve(data[offsets[at] : offsets[upto]], offsets[at : upto + 1] - offsets[at])
+        ids.append(found[0])
+        sizes.append(found[1])
+        at = upto
+    return np.concatenate(ids), np.concatenate(sizes)
+
+
 def ids_of(model: Unigram, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All ids, and how many each text has. Each distinct unit is solved once."""
     lists, odd = split_units(texts)
     sizes, units, index = encoded(lists)
-    ids, n = gather(*model.solve(*flat(units)), index)
+    ids, n = gather(*solved(model, *flat(units)), index)
     lengths = totals(n, sizes)
     if odd.any():
         parts = np.split(ids, np.cumsum(lengths)[:-1])
