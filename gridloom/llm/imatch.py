@@ -5,12 +5,12 @@ those in at least ``low`` and at most ``high`` of all documents. Since a documen
 mean of distinct terms m, the lexicon has at most m / low terms whatever the corpus size; that
 bound is checked before the lexicon is broadcast, else it is joined by key.
 
-Randomised subsets: family f keeps a term with probability 8^-f by its md5, and deals the kept
+Randomised subsets: family f keeps a term with probability 2^-f by its md5, and deals the kept
 terms into ``SLOTS`` subsets. A fingerprint joins, family by family and subset by subset, eight hex
 digits of the md5 of the document's sorted distinct terms in that subset ("00000000": none).
-Likeness is the share of equal subsets among those that hold terms of either text. The small
-families give long texts, the large ones short texts, subsets of a few terms, so that a half
-edited text still shares some. A text without any lexicon term has as fingerprint the hash of all
+Likeness is the share of equal subsets among those that hold terms of either text. The
+sparse families give long texts, the dense ones short texts, subsets of about one term, which a
+half edited text shares with a chance of 0.15 each. A text without any lexicon term has as fingerprint the hash of all
 its terms, repeated.
 
 Nulls count as empty texts; equal texts have equal fingerprints. Repeated rows keep their own
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm._common import BLANKS, partitions, stored, table
 
-SLOTS, FAMILIES, DIGITS = 16, 4, 8
+SLOTS, FAMILIES, DIGITS = 16, 8, 8
 LOW, HIGH = 0.001, 0.02
 
 
@@ -48,8 +48,8 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
 
 
 def _kept(h: Column, family: int) -> Column:
-    """The first ``family`` hex digits are all below 2: probability 8^-family."""
-    return F.substring(h, 1, family).rlike(f"^[01]{{{family}}}$") if family else F.lit(True)
+    """The first ``family`` hex digits are all below 8: probability 2^-family."""
+    return F.substring(h, 1, family).rlike(f"^[0-7]{{{family}}}$") if family else F.lit(True)
 
 
 def _signature(parts: Column) -> Column:
@@ -151,7 +151,7 @@ s AS (SELECT r, 0 AS ed, list_sort(list_distinct(regexp_extract_all(lower(text),
   UNION ALL SELECT r, 1, list_sort(list_distinct(regexp_extract_all(lower(edited), '[^\x20\x09-\x0D]+'))) FROM e),
 t AS (SELECT r, ed, unnest(ts) AS term FROM s),
 band AS (SELECT term FROM t WHERE ed = 0 GROUP BY term HAVING count(*) >= {LOW} * (SELECT count(*) FROM documents) AND count(*) <= greatest({HIGH} * (SELECT count(*) FROM documents), 1)),
-lx AS (SELECT term, list_filter([{', '.join(f"CASE WHEN regexp_matches(md5(term)[1:{f}], '^[01]{{{f}}}$') THEN {f * SLOTS} + (instr('0123456789abcdef', md5(term)[{32 - f}:{32 - f}]) - 1) END" if f else f"(instr('0123456789abcdef', md5(term)[32:32]) - 1)" for f in range(FAMILIES))}], lambda z: z IS NOT NULL) AS slots FROM band),
+lx AS (SELECT term, list_filter([{', '.join(f"CASE WHEN regexp_matches(md5(term)[1:{f}], '^[0-7]{{{f}}}$') THEN {f * SLOTS} + (instr('0123456789abcdef', md5(term)[{32 - f}:{32 - f}]) - 1) END" if f else f"(instr('0123456789abcdef', md5(term)[32:32]) - 1)" for f in range(FAMILIES))}], lambda z: z IS NOT NULL) AS slots FROM band),
 f AS (SELECT r, ed, list(struct_pack(term := term, slots := list_transform(slots, lambda q: CAST(q AS INTEGER))) ORDER BY term) AS fs FROM t JOIN lx USING (term) GROUP BY r, ed),
 g AS (SELECT s.r, s.ed, CASE WHEN fs IS NULL THEN repeat(md5(array_to_string(ts, ' '))[1:8], {SLOTS * FAMILIES}) ELSE {_SIG.replace("F,", "fs,")} END AS fp FROM s LEFT JOIN f ON s.r = f.r AND s.ed = f.ed)
 SELECT e.doc_id, CAST(len(e.text) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint,
