@@ -6,6 +6,8 @@ Dirichlet prior (the pooled counts, scaled to ``prior`` tokens), less one standa
 word: of the word itself and its beginnings the one with the clearest evidence counts. At most
 ``max_features`` features are kept and sent to the tasks.
 
+A word that only repeats the one before it counts once, here and below.
+
 Scoring. A word's score less a drift makes clean text fall. A linear-time scan (Ruzzo and Tompa)
 finds every maximal-scoring segment of a text. Segment scores are calibrated as extreme values:
 lambda solves E exp(lambda s) = 1 over clean tokens, K follows from the clean texts' best segments,
@@ -80,10 +82,20 @@ def segments(at: list[int], gains: list[float], drift: float) -> list[tuple[int,
     return [(a, b, y - x) for a, b, x, y in out]
 
 
+def _again(sizes: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Tokens equal to the one before them in their text: no evidence of their own."""
+    again = np.zeros(len(index), bool)
+    again[1:] = index[1:] == index[:-1]
+    starts = np.cumsum(sizes) - sizes
+    again[starts[starts < len(index)]] = False
+    return again
+
+
 def _scan(texts: pa.Array, memo: Memo, drift: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Of each text: tokens, the scores of all tokens' units by index, places and gains of positive tokens."""
     sizes, units, index = encoded(pc.split_pattern_regex(pc.utf8_lower(texts), _SPLIT))
     score = np.array(memo.all(units.to_pylist()), dtype=float)[index] if len(units) else np.zeros(0)
+    score[_again(sizes, index)] = 0.0
     up = np.flatnonzero(score > drift)
     ends = np.cumsum(sizes)
     lo, hi = np.searchsorted(up, ends - sizes), np.searchsorted(up, ends)
@@ -151,7 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_feature
             for piece in slices(batch, 0):
                 toxic = piece.column(1).to_numpy()
                 sizes, units, index = encoded(pc.split_pattern_regex(pc.utf8_lower(piece.column(0)), _SPLIT))
-                of = np.repeat(toxic, sizes)
+                fresh = ~_again(sizes, index)
+                of, index = np.repeat(toxic, sizes)[fresh], index[fresh]
                 names = units.to_pylist()
                 for label in (0, 1):
                     n = np.bincount(index[of == label], minlength=len(names))
@@ -175,8 +188,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_feature
         memo, found = Memo(lambda units: [model.word(u) for u in units]), Counter()
         for batch in batches:
             for piece in slices(batch.filter(pc.equal(batch.column(1), 0)), 0):
-                _, units, index = encoded(pc.split_pattern_regex(pc.utf8_lower(piece.column(0)), _SPLIT))
+                sizes, units, index = encoded(pc.split_pattern_regex(pc.utf8_lower(piece.column(0)), _SPLIT))
                 s = np.maximum(np.array(memo.all(units.to_pylist()), dtype=float), 0.0)[index]
+                s[_again(sizes, index)] = 0.0
                 found.update(np.rint((s - model.drift) / STEP).astype(int).tolist())
         yield pa.RecordBatch.from_pydict({"v": pa.array(list(found), pa.int64()), "n": pa.array(list(found.values()), pa.int64())})
 
@@ -209,9 +223,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_feature
     return model
 
 
-_MEMOS: dict[int, Memo] = {}
-
-
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, passages): the significant segments as first and last word and their x."""
 
