@@ -53,17 +53,17 @@ def _kept(h: Column, family: int) -> Column:
 
 
 def _signature(parts: Column) -> Column:
-    """The fingerprint of a map of subset number to hash; absent subsets are zeros."""
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SLOTS * FAMILIES - 1)), lambda k: F.coalesce(F.try_element_at(parts, k), F.lit("0" * DIGITS))), "")
+    """The hashes of all subsets in order, from a map of subset number to hash; absent subsets are zeros."""
+    return F.transform(F.sequence(F.lit(0), F.lit(SLOTS * FAMILIES - 1)), lambda k: F.coalesce(F.try_element_at(parts, k), F.lit("0" * DIGITS)))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal subsets among those that hold terms of either text; 1 for equal fingerprints."""
-    none = "0" * DIGITS
-    one = lambda x, k: F.substring(x, k * DIGITS + 1, F.lit(DIGITS))
-    held = F.filter(F.sequence(F.lit(0), F.lit(SLOTS * FAMILIES - 1)), lambda k: (one(a, k) != none) | (one(b, k) != none))
-    same = F.filter(held, lambda k: one(a, k) == one(b, k))
-    return F.when(a == b, 1.0).when(F.size(held) == 0, 0.0).otherwise(F.size(same) / F.greatest(F.size(held), F.lit(1)))
+    """Share of equal subsets among those that hold terms of either text; 1 for equal fingerprints.
+    a, b: the hashes as arrays, compared in one pass: 1 for a subset held, so many more if it is equal."""
+    none, equal = "0" * DIGITS, 1 << 16
+    points = F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x != y, 1).when(x == none, 0).otherwise(equal + 1)), F.lit(0), lambda n, x: n + x)
+    count = F.element_at(F.transform(F.array(points), lambda n: F.when(n == 0, 0.0).otherwise(F.shiftright(n, 16) / F.greatest(n.bitwiseAND(equal - 1), F.lit(1)))), 1)
+    return F.when(a == b, 1.0).otherwise(count)
 
 
 def _ranges(docs: DataFrame, n: int) -> list[int]:
@@ -125,10 +125,10 @@ def fingerprinted(docs: DataFrame, low: float = LOW, high: float = HIGH) -> Data
     slots = flat.groupBy("grp", "n", "slot").agg(F.first("info", True).alias("info"), hashed(1).alias("own"), hashed(2).alias("other")).select("grp", "n", "info", "slot", digest("own").alias("own"), digest("other").alias("other"))
     held = lambda c: F.map_from_entries(F.collect_list(F.when(F.col("slot").isNotNull() & F.col(c).isNotNull(), F.struct("slot", c))))
     found = slots.groupBy("grp", "n").agg(F.first("info", True).alias("info"), held("own").alias("own"), held("other").alias("other"))
-    of = lambda c: F.when(F.size(c) > 0, _signature(F.col(c))).otherwise(F.repeat(F.col(f"info.{c}_all"), SLOTS * FAMILIES))
-    signed = found.select("grp", "n", *(f"info.{c}" for c in ("wrap", "doc_id", "n_chars", "edited_sha256")), of("own").alias("fingerprint"), of("other").alias("edited_fingerprint"))
-    later = signed.withColumn("next", F.lead("fingerprint").over(Window.partitionBy("grp").orderBy("n"))).where("wrap = 0")
-    return later.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next")).alias("near_next"))
+    of = lambda c: F.when(F.size(c) > 0, _signature(F.col(c))).otherwise(F.array_repeat(F.col(f"info.{c}_all"), SLOTS * FAMILIES))
+    signed = found.select("grp", "n", *(f"info.{c}" for c in ("wrap", "doc_id", "n_chars", "edited_sha256")), of("own").alias("own"), of("other").alias("other"))
+    later = signed.withColumn("next", F.lead("own").over(Window.partitionBy("grp").orderBy("n"))).where("wrap = 0")
+    return later.select("doc_id", "n_chars", "edited_sha256", F.array_join("own", "").alias("fingerprint"), F.array_join("other", "").alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
 
 
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
