@@ -107,11 +107,11 @@ def test_robust_gradient_ignores_a_spike(spark):
 
 
 def test_timefn_identities(spark):
-    t = spark.range(200).select((F.col("id") / 20.0).alias("t"))
-    unity = sum((f.column(F.col("t")) for f in timefn.bspline_set(-5.0, 15.0, 21)), F.lit(0.0))
-    i = timefn.ISpline(tref=5.0, scale=1.0)
+    t = spark.range(200).select((F.col("id") / 20.0 + 2000.0).alias("t"))
+    unity = sum((f.column(F.col("t")) for f in timefn.bspline_set(1995.0, 2015.0, 21)), F.lit(0.0))
+    i = timefn.ISpline(tref=2005.0, scale=1.0)
     slope = (i.column(F.col("t") + 1e-4) - i.column(F.col("t") - 1e-4)) / 2e-4
-    for r in t.select(unity.alias("u"), slope.alias("s"), timefn.BSpline(tref=5.0, scale=1.0).column(F.col("t")).alias("b")).collect():
+    for r in t.select(unity.alias("u"), slope.alias("s"), timefn.BSpline(tref=2005.0, scale=1.0).column(F.col("t")).alias("b")).collect():
         assert r["u"] == pytest.approx(1.0, abs=1e-9) and r["s"] == pytest.approx(r["b"], abs=1e-5)
 
 
