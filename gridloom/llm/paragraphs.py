@@ -5,7 +5,10 @@ bands over five-word shingles (``BANDS`` x ``ROWS``: a pair at Jaccard 0.8 is me
 0.995); colliding lines are verified by their exact Jaccard similarity and clustered by connected
 components. *Windows* of ``WINDOW`` words catch passages inside longer text: of every run of
 ``WINDOW`` + 1 consecutive windows the one of least hash is chosen, so any passage of at least
-2 * ``WINDOW`` words that repeats has a chosen window in common, wherever it stands.
+2 * ``WINDOW`` words that repeats has a chosen window in common, wherever it stands. Chosen windows
+are only seeds: around each that two documents share, at every place where it stands, all windows
+within reach are compared. A repeated passage of 2 * ``WINDOW`` words or more has a seed within reach
+of each of its windows, so all its words are found; a shorter one, if it has a seed.
 
 Equal lines and windows collapse to one class by hash before anything is compared, so copies cost a
 row each. A bucket with more than ``BUCKET`` different lines is cut into blocks, and each pair of
@@ -139,17 +142,14 @@ def _windows(w: Words) -> tuple[np.ndarray, np.ndarray]:
     least = np.concatenate([np.zeros(run - 1, _U), _sliding(row, run, np.minimum)])
     least[least == top] = 0
     chosen = _sliding(np.concatenate([least, np.zeros(run - 1, _U)]), run, np.maximum)[place + 0] == h
-    at, h = at[chosen], h[chosen]
-    # of equal windows of one text the first
-    _, one = np.unique(np.stack([w.text[at].astype(_U), h]), axis=1, return_index=True)
-    return at[np.sort(one)], h[np.sort(one)]
+    return at[chosen], h[chosen]
 
 
 _UNITS = "kind tinyint, key bigint, doc_id bigint, first int, n int, class bigint"
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: a window or line (key: its content; line: class too). kind 1: a band of a line."""
+    """kind 0: a line (key and class: its content). kind 1: a band of a line. kind 2: a chosen window, once a text."""
 
     def out(w, kind, key, doc, first, n, cls=None):
         rows = len(key)
@@ -163,7 +163,9 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             at, h = _windows(w)
             if len(at):
-                yield out(w, 0, h, ids[w.text[at]], at - w.first[w.text[at]], np.full(len(at), WINDOW))
+                _, one = np.unique(np.stack([w.text[at].astype(_U), h]), axis=1, return_index=True)
+                at, h = at[one], h[one]
+                yield out(w, 2, h, ids[w.text[at]], at - w.first[w.text[at]], np.full(len(at), WINDOW))
             a, b = w.lines()
             long = b - a >= LINE_WORDS
             a, b = a[long], b[long]
@@ -183,6 +185,57 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield out(w, 1, key, doc, first, b - a, cls)
 
 
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, seeds): every window that starts at most WINDOW words from a seed."""
+    for batch in batches:
+        for part in slices(batch, 1, _SLICE):
+            w, ids = Words(part.column(1)), part.column(0).to_numpy()
+            at, h = _windows(w)
+            sizes = part.column(2).value_lengths().to_numpy()
+            seeds = np.split(part.column(2).flatten().to_numpy().view(_U), np.cumsum(sizes)[:-1])
+            ends = np.searchsorted(w.text[at], np.arange(len(ids) + 1))
+            met = np.concatenate([np.isin(h[x:y], s) for x, y, s in zip(ends, ends[1:], seeds)])
+            at = at[met]
+            # the starts of windows lie between a text's first word and the last that has a whole window
+            first, last = w.first[w.text[at]], (w.first + w.n - WINDOW)[w.text[at]]
+            depth = np.zeros(len(w.hash) + 1, np.int64)
+            np.add.at(depth, np.maximum(at - WINDOW, first), 1)
+            np.add.at(depth, np.minimum(at + WINDOW, last) + 1, -1)
+            at = np.flatnonzero(np.cumsum(depth) > 0)
+            if len(at):
+                key = _ranges(w.hash, _WORDS, at, at + WINDOW)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[w.text[at]]), pa.array((at - w.first[w.text[at]]).astype(np.int32))], names=["key", "doc_id", "first"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, copy_of, starts of windows): a span for each run of consecutive starts."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        row = np.repeat(np.arange(len(batch)), batch.column(2).value_lengths().to_numpy())
+        at = batch.column(2).flatten().to_numpy().astype(np.int64)
+        order = np.lexsort((at, row))
+        row, at = row[order], at[order]
+        new = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(at, prepend=-9) != 1))
+        n = at[np.append(new[1:], len(at)) - 1] - at[new] + WINDOW
+        ids, copies = (batch.column(k).to_numpy()[row[new]] for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(at[new].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(copies)], names=["doc_id", "first", "n", "copy_of"])
+
+
+def _copied(units: DataFrame) -> DataFrame:
+    """(key, copy_of): the contents that stand in two documents or more, and the least of these."""
+    return units.groupBy("key").agg(F.min("doc_id").alias("copy_of"), F.max("doc_id").alias("hi")).where("copy_of <> hi").select("key", "copy_of")
+
+
+def shared_windows(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(doc_id, first, n, copy_of): runs of windows that stand in a document of lesser id too."""
+    wanted = seeds.join(_copied(seeds).select("key"), "key").groupBy("doc_id").agg(F.collect_set("key").alias("seeds"))
+    around = docs.join(wanted, "doc_id").select("doc_id", "text", "seeds")
+    windows = stored(around.mapInArrow(_around, "key bigint, doc_id bigint, first int"), "windows")
+    met = windows.join(_copied(windows), "key").where("doc_id <> copy_of")
+    return met.groupBy("doc_id", "copy_of").agg(F.collect_set("first").alias("starts")).mapInArrow(_runs, "doc_id bigint, first int, n int, copy_of bigint")
+
+
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (text, wanted classes): the distinct shingles of each wanted line."""
     for batch in batches:
@@ -270,13 +323,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     units = stored(rows.mapInArrow(_units, _UNITS), "units")
     exact = units.where("kind = 0")
-    copied = exact.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("key", F.col("lo").alias("copy_of"))
-    same = exact.join(copied, "key").where("doc_id <> copy_of").select("doc_id", "first", "n", "copy_of")
+    same = exact.join(_copied(exact), "key").where("doc_id <> copy_of").select("doc_id", "first", "n", "copy_of")
+    inside = shared_windows(rows, units.where("kind = 2").select("key", "doc_id"))
     near = near_lines(rows, units.where("kind = 1"))
-    lines = exact.where("class is not null").join(near, "class")
+    lines = exact.join(near, "class")
     least = lines.groupBy("component").agg(F.min("doc_id").alias("copy_of"))
     alike = lines.join(least, "component").where("doc_id <> copy_of").select("doc_id", "first", "n", "copy_of")
-    return stored(same.unionByName(alike), "repeats")
+    return stored(same.unionByName(alike).unionByName(inside), "repeats")
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,6 +219,23 @@ def test_passages_in_the_middle_are_found_and_cut(spark):
     assert passage not in out[2] and "other" not in out[4].split() and out[4].startswith(texts[4].split("\n")[0])
 
 
+def test_every_word_of_repeated_passages_goes_at_every_place(spark):
+    r = random.Random(16)
+    w = lambda n: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(n))
+    passages = [w(n) for n in (50, 51, 62, 75, 76, 99, 120)]
+    part = " ".join(passages[-1].split(" ")[40:75])  # document 0 has a piece, document 1 the whole
+    first = [f"{w(9)} {part} {w(9)}", w(3) + " " + " ".join(f"{p} {w(4)}" for p in passages)]
+    around = [[w(r.randrange(1, 30)) for _ in range(3)] for _ in passages]
+    texts = first + [f"{a} {p} {b} {p} {c}" for (a, b, c), p in zip(around, passages)]
+    docs = docs_of(spark, texts)
+    out = {x["doc_id"]: x["text"] for x in paragraphs.stage_substring(spark, docs, SF).collect()}
+    assert out[0] == texts[0] and out[1] == texts[1].replace(f" {part}", "")
+    assert [out[i + 2] for i in range(len(passages))] == [" ".join(x) for x in around]
+    spans = {(x["doc_id"], x["first"], x["n"]) for x in paragraphs.repeats(docs).where("copy_of = 1").collect()}
+    whole = {(i + 2, len(f"{a} {p} {b}".split()) if k else len(a.split()), len(p.split())) for i, ((a, b, _), p) in enumerate(zip(around[:-1], passages)) for k in (0, 1)}
+    assert whole <= spans
+
+
 def test_line_links_against_all_pairs():
     r = np.random.default_rng(7)
     base = [np.unique(r.integers(0, 10**6, 100)) for _ in range(5)]
