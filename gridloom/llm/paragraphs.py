@@ -1,9 +1,9 @@
 """Substring dedup: paragraphs met by content, verified, clustered, and removed but for one copy.
 
-Two kinds of paragraph are compared. *Lines* of at least ``LINE_WORDS`` words collide in MinHash
-bands over five-word shingles (``BANDS`` x ``ROWS``: a pair at Jaccard 0.8 is met with probability
-0.995); colliding lines are verified by their exact Jaccard similarity and clustered by connected
-components. *Windows* of ``WINDOW`` words catch passages inside longer text: of every run of
+Two kinds of paragraph are compared. *Lines* of any length that are equal are met by hash; those of
+``SHINGLE`` words or more collide in MinHash bands over five-word shingles too (``BANDS`` x ``ROWS``: a
+pair at Jaccard 0.8 is met with probability 0.995); colliding lines are verified by their exact Jaccard
+similarity and clustered by connected components. *Windows* of ``WINDOW`` words catch passages inside longer text: of every run of
 ``WINDOW`` + 1 consecutive windows the one of least hash is chosen, so any passage of at least
 2 * ``WINDOW`` words that repeats has a chosen window in common, wherever it stands. Chosen windows
 are only seeds: around each that two documents share, at every place where it stands, all windows
@@ -28,14 +28,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm._common import WORD, stored, table, unused
 from gridloom.llm._units import slices
 from gridloom.llm.components import connected_components
 
-SHINGLE, WINDOW, LINE_WORDS = 5, 25, 40
+SHINGLE, WINDOW = 5, 25
 BANDS, ROWS, SIMILARITY, BUCKET = 10, 4, 0.8, 2048
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 _SLICE = 1 << 20
@@ -149,7 +149,7 @@ _UNITS = "kind tinyint, key bigint, doc_id bigint, first int, n int, class bigin
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: a line (key and class: its content). kind 1: a band of a line. kind 2: a chosen window, once a text."""
+    """kind 0: a line (key and class: its content). kind 1: a band of a line, once a slice. kind 2: a chosen window, once a text."""
 
     def out(w, kind, key, doc, first, n, cls=None):
         rows = len(key)
@@ -167,13 +167,14 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at, h = at[one], h[one]
                 yield out(w, 2, h, ids[w.text[at]], at - w.first[w.text[at]], np.full(len(at), WINDOW))
             a, b = w.lines()
-            long = b - a >= LINE_WORDS
-            a, b = a[long], b[long]
-            if not len(a):
-                continue
             cls = _ranges(w.hash, _WORDS, a, b)
+            yield out(w, 0, cls, ids[w.text[a]], a - w.first[w.text[a]], b - a, cls)
+            _, one = np.unique(cls, return_index=True)
+            one = np.sort(one[(b - a)[one] >= SHINGLE])
+            if not len(one):
+                continue
+            a, b, cls = a[one], b[one], cls[one]
             doc, first = ids[w.text[a]], a - w.first[w.text[a]]
-            yield out(w, 0, cls, doc, first, b - a, cls)
             shingles = w.shingles()
             n = b - a - SHINGLE + 1
             flat = shingles[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())]
@@ -185,55 +186,57 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield out(w, 1, key, doc, first, b - a, cls)
 
 
+def _of(hashes: np.ndarray, text: np.ndarray, wanted: pa.Array) -> np.ndarray:
+    """Which hashes, in order of their texts, are in the list of their text."""
+    lists = np.split(wanted.flatten().to_numpy().view(_U), np.cumsum(wanted.value_lengths().to_numpy())[:-1])
+    ends = np.searchsorted(text, np.arange(len(lists) + 1))
+    return np.concatenate([np.isin(hashes[x:y], s) for x, y, s in zip(ends, ends[1:], lists)])
+
+
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, seeds): every window that starts at most WINDOW words from a seed."""
+    """Rows (doc_id, text, seeds, lines): every window that starts at most WINDOW words from a seed, but
+    those inside the given lines, which go as a whole and whose windows their first copy has."""
     for batch in batches:
         for part in slices(batch, 1, _SLICE):
             w, ids = Words(part.column(1)), part.column(0).to_numpy()
             at, h = _windows(w)
-            sizes = part.column(2).value_lengths().to_numpy()
-            seeds = np.split(part.column(2).flatten().to_numpy().view(_U), np.cumsum(sizes)[:-1])
-            ends = np.searchsorted(w.text[at], np.arange(len(ids) + 1))
-            met = np.concatenate([np.isin(h[x:y], s) for x, y, s in zip(ends, ends[1:], seeds)])
-            at = at[met]
+            at = at[_of(h, w.text[at], part.column(2))]
             # the starts of windows lie between a text's first word and the last that has a whole window
             first, last = w.first[w.text[at]], (w.first + w.n - WINDOW)[w.text[at]]
             depth = np.zeros(len(w.hash) + 1, np.int64)
             np.add.at(depth, np.maximum(at - WINDOW, first), 1)
             np.add.at(depth, np.minimum(at + WINDOW, last) + 1, -1)
-            at = np.flatnonzero(np.cumsum(depth) > 0)
+            a, b = w.lines()
+            known = _of(_ranges(w.hash, _WORDS, a, b), w.text[a], part.column(3))
+            inside = np.zeros(len(depth), np.int64)
+            np.add.at(inside, a[known], 1)
+            np.add.at(inside, b[known] - WINDOW + 1, -1)
+            at = np.flatnonzero((np.cumsum(depth) > 0) & (np.cumsum(inside) == 0))
             if len(at):
                 key = _ranges(w.hash, _WORDS, at, at + WINDOW)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[w.text[at]]), pa.array((at - w.first[w.text[at]]).astype(np.int32))], names=["key", "doc_id", "first"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, copy_of, starts of windows): a span for each run of consecutive starts."""
-    for batch in batches:
-        if not len(batch):
-            continue
-        row = np.repeat(np.arange(len(batch)), batch.column(2).value_lengths().to_numpy())
-        at = batch.column(2).flatten().to_numpy().astype(np.int64)
-        order = np.lexsort((at, row))
-        row, at = row[order], at[order]
-        new = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(at, prepend=-9) != 1))
-        n = at[np.append(new[1:], len(at)) - 1] - at[new] + WINDOW
-        ids, copies = (batch.column(k).to_numpy()[row[new]] for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(at[new].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(copies)], names=["doc_id", "first", "n", "copy_of"])
-
-
 def _copied(units: DataFrame) -> DataFrame:
     """(key, copy_of): the contents that stand in two documents or more, and the least of these."""
     return units.groupBy("key").agg(F.min("doc_id").alias("copy_of"), F.max("doc_id").alias("hi")).where("copy_of <> hi").select("key", "copy_of")
 
 
-def shared_windows(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(doc_id, first, n, copy_of): runs of windows that stand in a document of lesser id too."""
+def shared_windows(docs: DataFrame, seeds: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_id, first, n, copy_of): runs of windows that stand in a document of lesser id too.
+
+    lines: doc_id, key, n of those that are known to. Windows inside those of 2 * WINDOW words or more
+    are left out: such a line has a seed within reach of each of its windows in its first copy as well,
+    so that copy has them all, under a lesser id."""
     wanted = seeds.join(_copied(seeds).select("key"), "key").groupBy("doc_id").agg(F.collect_set("key").alias("seeds"))
-    around = docs.join(wanted, "doc_id").select("doc_id", "text", "seeds")
+    known = lines.where(F.col("n") >= 2 * WINDOW).groupBy("doc_id").agg(F.collect_set("key").alias("lines"))
+    around = docs.join(wanted.join(known, "doc_id", "left"), "doc_id").select("doc_id", "text", "seeds", F.coalesce("lines", F.expr("cast(array() as array<bigint>)")).alias("lines"))
     windows = stored(around.mapInArrow(_around, "key bigint, doc_id bigint, first int"), "windows")
     met = windows.join(_copied(windows), "key").where("doc_id <> copy_of")
-    return met.groupBy("doc_id", "copy_of").agg(F.collect_set("first").alias("starts")).mapInArrow(_runs, "doc_id bigint, first int, n int, copy_of bigint")
+    # the starts of a run grow with their rank
+    run = F.col("first") - F.dense_rank().over(Window.partitionBy("doc_id", "copy_of").orderBy("first"))
+    spans = met.select("doc_id", "copy_of", "first", run.alias("run")).groupBy("doc_id", "copy_of", "run").agg(F.min("first").alias("first"), F.max("first").alias("last"))
+    return spans.select("doc_id", "first", (F.col("last") - F.col("first") + WINDOW).alias("n"), "copy_of")
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +246,7 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             w = Words(part.column(0))
             wanted = [set(x) for x in part.column(1).to_pylist()]
             a, b = w.lines()
-            long = b - a >= LINE_WORDS
+            long = b - a >= SHINGLE
             a, b = a[long], b[long]
             if not len(a):
                 continue
@@ -323,13 +326,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     units = stored(rows.mapInArrow(_units, _UNITS), "units")
     exact = units.where("kind = 0")
-    same = exact.join(_copied(exact), "key").where("doc_id <> copy_of").select("doc_id", "first", "n", "copy_of")
-    inside = shared_windows(rows, units.where("kind = 2").select("key", "doc_id"))
+    same = stored(exact.join(_copied(exact), "key").where("doc_id <> copy_of").select("key", "doc_id", "first", "n", "copy_of"), "same")
+    inside = shared_windows(rows, units.where("kind = 2").select("key", "doc_id"), same)
     near = near_lines(rows, units.where("kind = 1"))
     lines = exact.join(near, "class")
     least = lines.groupBy("component").agg(F.min("doc_id").alias("copy_of"))
     alike = lines.join(least, "component").where("doc_id <> copy_of").select("doc_id", "first", "n", "copy_of")
-    return stored(same.unionByName(alike).unionByName(inside), "repeats")
+    return stored(same.drop("key").unionByName(alike).unionByName(inside), "repeats")
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,6 +236,19 @@ def test_every_word_of_repeated_passages_goes_at_every_place(spark):
     assert whole <= spans
 
 
+def test_short_lines_are_met_by_content_and_likeness(spark):
+    r = random.Random(17)
+    w = lambda n: ["".join(r.choices("abcdefgh", k=6)) for _ in range(n)]
+    lines = [w(n) for n in (1, 4, 5, 9, 12, 24, 39)]
+    long = [w(n) for n in (14, 20, 39)]  # with another last word they stay at 9/11, 15/17 and 34/36 of their shingles
+    a = ["\n".join(" ".join(x) for x in (w(30), *lines, *long)), " ".join(w(20))]
+    b = [w(8), *lines, w(7), *([*x[:-1], "other"] for x in long), [*w(6), *long[0][:6]]]
+    docs = docs_of(spark, [*a, "\n".join(" ".join(x) for x in b)])
+    out = {x["doc_id"]: x["text"] for x in paragraphs.stage_substring(spark, docs, SF).collect()}
+    assert out[0] == a[0] and out[1] == a[1]
+    assert out[2].split() == [*b[0], *b[8], *b[12]]
+
+
 def test_line_links_against_all_pairs():
     r = np.random.default_rng(7)
     base = [np.unique(r.integers(0, 10**6, 100)) for _ in range(5)]
