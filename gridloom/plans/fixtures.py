@@ -28,6 +28,12 @@ def holed(spark: SparkSession, d: str) -> Raster:
     return Raster(g.cells.withColumn("val", F.when((F.col("row") * 64 + F.col("col")) % 13 != 0, F.col("val"))), g.header)
 
 
+def partly_holed(spark: SparkSession, d: str) -> Raster:
+    """Holes in even columns alone: the odd ones are whole."""
+    g = grid(spark, d)
+    return Raster(g.cells.withColumn("val", F.when(((F.col("row") * 64 + F.col("col")) % 13 != 0) | (F.col("col") % 2 == 1), F.col("val"))), g.header)
+
+
 def velocity(spark: SparkSession, d: str) -> DataFrame:
     c = grid(spark, d).cells
     vx = c.where("col < 32").select("row", "col", F.col("val").alias("vx"))
@@ -76,6 +82,7 @@ SQL = {
     "grid": "grid AS (SELECT CAST(vec_id AS INT) AS row, CAST(unnest(range(len(embedding))) AS INT) AS col, CAST(unnest(embedding) AS DOUBLE) * 0.1::DOUBLE + 1.0::DOUBLE / 3 AS val FROM embeddings)",
     "hdr": "hdr AS (SELECT CAST(max(vec_id) + 1 AS INT) AS ny, 64 AS nx FROM embeddings)",
     "holed": "holed AS (SELECT row, col, CASE WHEN (row * 64 + col) % 13 <> 0 THEN val END AS val FROM grid)",
+    "partly": "partly AS (SELECT row, col, CASE WHEN (row * 64 + col) % 13 <> 0 OR col % 2 = 1 THEN val END AS val FROM grid)",
     "vel": "vel AS (SELECT a.row, a.col, a.val AS vx, b.val AS vy FROM grid a JOIN grid b ON a.row = b.row AND b.col = a.col + 32 WHERE a.col < 32)",
     "pix": "pix AS (SELECT CAST(user_id // 10 AS INT) AS row, CAST(user_id % 10 AS INT) AS col, CAST(dayofyear(ts) - 1 AS INT) AS k, avg(value) AS val, CAST(count(*) AS DOUBLE) AS wgt FROM events GROUP BY 1, 2, 3)",
     "pixe": "pixe AS (SELECT DISTINCT k, 2024.0::DOUBLE + k / 366.0::DOUBLE AS tdec FROM pix)",
@@ -86,7 +93,7 @@ SQL = {
     "prof": "prof AS (SELECT CAST(s_suppkey AS INT) AS i, s_suppkey * 1000.0::DOUBLE + (s_suppkey % 3) * 50.0::DOUBLE AS x, 800.0::DOUBLE + s_acctbal * 0.01::DOUBLE AS h, 200.0::DOUBLE - s_suppkey * 3.0::DOUBLE AS b, 100.0::DOUBLE + s_suppkey * 2.0::DOUBLE + s_acctbal * 0.001::DOUBLE AS u FROM supplier)",
     "line": "line AS (SELECT i AS seq, x, h * 10 AS y FROM prof)",
 }
-_NEEDS = {"holed": ["grid"], "vel": ["grid"], "pixe": ["pix"], "mone": ["mon"], "line": ["prof"]}
+_NEEDS = {"holed": ["grid"], "partly": ["grid"], "vel": ["grid"], "pixe": ["pix"], "mone": ["mon"], "line": ["prof"]}
 
 
 def with_(*names: str) -> str:

@@ -198,6 +198,10 @@ for _how in ("sum", "mean", "std", "median"):
         h = fx.holed(spark, d)
         return _val(Raster(h.cells.where("row < 13"), h.header).reduce(how, 0))
 
+    @query(f"raster_{_how}_propagate_all", with_("partly") + f" SELECT col, round(CASE WHEN count(*) = count(val) THEN {_skip} END, 6) AS val FROM partly GROUP BY col")
+    def _(spark, d, how=_how):
+        return _val(fx.partly_holed(spark, d).reduce(how, 0))
+
     @query(f"raster_nan{_how}_axis", with_("holed") + f" SELECT row, round({_sql}, 6) AS val FROM holed GROUP BY row")
     def _(spark, d, how=_how):
         return _val(fx.holed(spark, d).reduce(f"nan{how}", 1))
@@ -214,6 +218,11 @@ def _(spark, d):
     return _val(g.window(0, 64, 0, 64).downsample_with(8, 8, lambda v: v.max()))
 
 
+@query("raster_downsample_callable_all", with_("grid") + " SELECT row // 8 AS row, col // 8 AS col, round(greatest(max(val), CASE WHEN count(*) < 64 THEN 0 END), 6) AS val FROM grid GROUP BY 1, 2")
+def _(spark, d):
+    return _val(fx.grid(spark, d).downsample_with(8, 8, lambda v: v.max()))
+
+
 @query("raster_percentiles", with_("grid") + " SELECT round(quantile_cont(val, 0.05), 6) AS p5, round(quantile_cont(val, 0.999), 6) AS p999 FROM grid")
 def _(spark, d):
     return r6(fx.grid(spark, d).cells.agg(F.percentile("val", 0.05).alias("p5"), F.percentile("val", 0.999).alias("p999")), "p5", "p999")
@@ -563,6 +572,13 @@ def _(spark, d):
     return p.select("row", "col", "k", F.round("full", 3).alias("full"), F.round("sigma", 6).alias("sigma"))
 
 
+@query("predict_full_sigma_all", ORACLES["predict_full_sigma"].replace(" AND f.row < 20", ""))
+def _(spark, d):
+    m, e = fx.moncube(spark, d), fx.mon_epochs(spark, d)
+    p = solve.predict(solve.lsqr(m, e, _LINEAR), e, _LINEAR)
+    return p.select("row", "col", "k", F.round("full", 3).alias("full"), F.round("sigma", 6).alias("sigma"))
+
+
 @query("residual_std", _LINE + " SELECT row, col, round(stddev_pop(d - m0 - m1 * t), 4) AS sd FROM o JOIN f USING (row, col) WHERE n >= 20 GROUP BY 1, 2")
 def _(spark, d):
     m, e = fx.moncube(spark, d), fx.mon_epochs(spark, d)
@@ -594,6 +610,13 @@ def _(spark, d):
     return out.select("row", "col", "k", F.round("val", 3).alias("val"))
 
 
+@query("detrend_all", ORACLES["detrend"].replace(" AND m.row < 10", ""))
+def _(spark, d):
+    m, e = fx.moncube(spark, d), fx.mon_epochs(spark, d)
+    out = solve.detrend(m, solve.lsqr(m, e, _LINEAR), e, _LINEAR, ("secular",))
+    return out.select("row", "col", "k", F.round("val", 3).alias("val"))
+
+
 _SEASON = timefn.Collection([timefn.Constant(), timefn.Linear(tref=1998.0), *timefn.periodic(1998.0, 1.0)])
 
 
@@ -638,6 +661,14 @@ def _(spark, d):
     return fx.moncube(spark, d).where("row < 10").select("row", "col", "k", F.row_number().over(w).alias("rank"))
 
 
+@query("butterworth_basis_rank_all", ORACLES["butterworth_basis_rank"].replace(" WHERE row < 10", ""))
+def _(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("row", "col").orderBy(F.abs("val").desc(), "k")
+    return fx.moncube(spark, d).select("row", "col", "k", F.row_number().over(w).alias("rank"))
+
+
 # --- offsets
 
 
@@ -653,6 +684,14 @@ def _(spark, d):
     return p.where("cy < 3 and cx < 3").select("cy", "cx", "dy", "dx", F.round("snr", 5).alias("snr"))
 
 
+@query("ncc_integer_offset_all", ORACLES["ncc_integer_offset"].replace(with_("grid"), with_("grid", "hdr")).replace("range(0, 3)) AS INT) AS cy)", "range(0, (ny - 18) // 16 + 1)) AS INT) AS cy FROM hdr)").replace(" AND a.row < 60 AND a.col < 60", ""))
+def _(spark, d):
+    g = fx.grid(spark, d)
+    sec = g.cells.select((F.col("row") - 1).alias("row"), (F.col("col") - 2).alias("col"), "val").where("row >= 0 and col >= 0")
+    p = offsets.peaks(offsets.ncc(g.cells, sec, 12, 3, 16, g.header.ny, 64))
+    return p.select("cy", "cx", "dy", "dx", F.round("snr", 5).alias("snr"))
+
+
 @query("offset_map_dft")
 def _(spark, d):
     g = fx.grid(spark, d)
@@ -714,9 +753,9 @@ def _(spark, d):
 
 @query("flow_ensemble")
 def _(spark, d):
-    p = fx.profile(spark, d).where("i < 40").agg(F.array_sort(F.collect_list(F.struct("x", "h", "b", "u"))).alias("n"))
+    p = fx.profile(spark, d).agg(F.array_sort(F.collect_list(F.struct("x", "h", "b", "u"))).alias("n"))
     rows = p.select(*(F.col(f"n.{c}").alias(n) for c, n in (("x", "x"), ("h", "h"), ("b", "b"), ("u", "u0"))))
-    return rows.crossJoin(spark.range(4)).select("id", F.lit(1e-16).alias("a"), (1e3 * (F.col("id") + 1)).alias("cb"), F.lit(1e-3).alias("fs"), "x", "h", "b", "u0").transform(lambda s: sim.ensemble(s, 20))
+    return rows.crossJoin(spark.range(4)).select("id", F.lit(1e-16).alias("a"), (1e3 * (F.col("id") + 1)).alias("cb"), F.lit(1e-3).alias("fs"), "x", "h", "b", "u0").transform(sim.ensemble)
 
 
 # --- text sources, set operations
