@@ -721,6 +721,11 @@ def _(spark, d):
     return sim.wave_speeds(sim.lateral(sim.derived(fx.profile(spark, d)), -10.0, 2000.0)).select("i", F.round("alpha", 8).alias("alpha"))
 
 
+@query("lateral_shear_velocities")
+def _(spark, d):
+    return sim.wave_speeds(sim.lateral(sim.derived(fx.profile(spark, d)), -10.0, 2000.0)).select("i", "u_s", "c", "d", "vk", "pe")
+
+
 @query("basal_sliding_velocities")
 def _(spark, d):
     return sim.wave_speeds(sim.basal(sim.derived(fx.profile(spark, d)).where("alpha > 0"), 1e-3)).select("i", "u_s", "c", "d", "vk", "pe")
