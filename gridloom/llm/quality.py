@@ -5,7 +5,9 @@ shuffled. Windows are compared by a 64-bit hash of their five words.
 
 Nulls count as empty texts and are rejected (fewer than ten words). Lines without a word are
 neither counted nor judged. Repeated rows are judged alike; other columns pass through untouched,
-whatever their names.
+whatever their names. An empty table gives an empty result. A text is judged whole, whatever its
+length, in memory some ten times its size. Ties can't arise: every rule looks at one row; a share
+that equals its threshold passes.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from gridloom.llm._common import BLANKS, WORD, table, unused
 SYMBOLS = "#*$%&|<>"
 #: A line of these phrases is boilerplate.
 BOILERPLATE = ("cookie", "javascript", "lorem ipsum", "all rights reserved", "privacy policy", "terms of use", "terms of service", "click here", "subscribe now", "subscribe to", "sign up for", "log in to", "licensed under", "released under the", "powered by")
-#: How a sentence may end.
-TERMINAL = r"[.!?\x{2026}:;][\x{22}'\x{201D}\x{2019}\x{BB})\]]*[\x20\x09-\x0D]*$"
+#: How a sentence may end: one of these marks, then any closing signs.
+MARKS, CLOSERS = ".!?\u2026:;", "\"'\u201d\u2019\u00bb)]"
 
 
 def _let(value: Column, body) -> Column:
@@ -76,7 +78,8 @@ def line_fails(line: Column, symbol_share: float = 0.1, bars: int = 3) -> Column
             found = found | F.contains(lower, F.lit(phrase))
         return shouts | symbols | navigation | found
 
-    return ~F.right(line, F.lit(16)).rlike(TERMINAL) | _let(F.lower(line), rules)
+    end = F.right(F.rtrim(F.rtrim(line, F.lit(BLANKS)), F.lit(CLOSERS)), F.lit(1))
+    return (F.instr(F.lit(MARKS), end) == 0) | (end == "") | _let(F.lower(line), rules)
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -134,7 +137,7 @@ r AS (SELECT rid, CAST(sum(hit) AS BIGINT) AS n_repeat_words FROM v GROUP BY rid
 l AS (SELECT rid, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 k AS (SELECT rid, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
       len(regexp_replace(array_to_string(list_filter(lines, lambda x: NOT (
-        NOT regexp_matches(x[-16:], '[.!?\x{2026}:;][\x{22}''\x{201D}\x{2019}\x{BB})\]]*[\x20\x09-\x0D]*$')
+        NOT regexp_matches(x, '[.!?\x{2026}:;][\x{22}''\x{201D}\x{2019}\x{BB})\]]*[\x20\x09-\x0D]*$')
         OR (upper(x) = x AND lower(x) <> x)
         OR len(x) - len(translate(x, '#*$%&|<>', '')) > 0.1 * len(x)
         OR len(x) - len(translate(x, '|' || chr(187) || chr(8250), '')) >= 3
