@@ -12,9 +12,14 @@ budget leaves. The order is never sorted as a whole: tokens are summed by the fi
 the hash, and only the one bucket in which the budget ends is put in order, so a leaf that holds
 most rows is spread over all tasks.
 
+The plan has a row a leaf. It is broadcast after a count; beyond ``PLAN_ROWS`` leaves the join is
+salted, so a leaf that holds most rows is spread over ``SALTS`` tasks at least.
+
 Null languages and sources form the leaf "unknown". Documents without a word are never chosen.
-Documents of equal hash (repeated ids) are ordered by id and token count. An empty table gives an
-empty result. DataFrame functions alone.
+Documents of equal hash (repeated ids) are ordered by id and token count; rows that agree in these
+too are alike in the result. The stage keeps or leaves the rows of one id together. Texts of any
+length are counted in one pass. Clashing column names are those of the input and pass untouched. An
+empty table gives an empty result. DataFrame functions alone.
 """
 
 from __future__ import annotations
@@ -27,31 +32,45 @@ from pyspark.sql import functions as F
 from gridloom.llm._common import WORD, stored, table, unused
 
 LEVELS = ("domain", "lang", "source")
+PLAN_ROWS, SALTS = 50_000, 64
 
 
 @dataclass(frozen=True)
 class Mix:
     """weights: by path ("web",), ("web", "en") or ("web", "en", "src0"); other nodes weigh 1.
-    budget_percent: tokens to choose, in percent of all tokens there are."""
+    budget_percent: tokens to choose, in percent of all tokens there are. domains: (pattern of the
+    source, domain), the first that fits counts; other sources are "unknown"."""
 
     weights: dict[tuple[str, ...], int] = field(default_factory=dict)
     budget_percent: int = 100
     max_epochs: int = 4
     seed: int = 42
     bucket_digits: int = 3
+    domains: tuple[tuple[str, str], ...] = (("^src0$", "web"), ("^src[1-9]$", "curated"), ("^src[0-9]+$", "books"))
 
 
 LANGUAGES = {"en": 6, "de": 2, "fr": 2, "es": 2}
 PRODUCTION = Mix({("web",): 5, ("curated",): 3, ("books",): 2} | {(d, x): w for d in ("web", "curated", "books") for x, w in LANGUAGES.items()})
 
 
-def domain(source: Column) -> Column:
-    """src0 is the web crawl, src1 to src9 are curated sites, other numbered sources are books."""
-    return F.when(source == "src0", "web").when(source.rlike("^src[1-9]$"), "curated").when(source.rlike("^src[0-9]+$"), "books").otherwise("unknown")
+def domain(source: Column, mix: Mix) -> Column:
+    found = F.lit("unknown")
+    for pattern, name in reversed(mix.domains):
+        found = F.when(source.rlike(pattern), name).otherwise(found)
+    return found
+
+
+def _leaf(mix: Mix) -> list[Column]:
+    return [F.coalesce(domain(F.col("source"), mix), F.lit("unknown")).alias("domain"), F.coalesce("lang", F.lit("unknown")).alias("lang"), F.coalesce("source", F.lit("unknown")).alias("source")]
 
 
-def _leaf(docs: DataFrame) -> list[Column]:
-    return [F.coalesce(domain(F.col("source")), F.lit("unknown")).alias("domain"), F.coalesce("lang", F.lit("unknown")).alias("lang"), F.coalesce("source", F.lit("unknown")).alias("source")]
+def _leafed(rows: DataFrame, leaves: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined to their leaf's row."""
+    if leaves.limit(PLAN_ROWS + 1).count() <= PLAN_ROWS:
+        return rows.join(F.broadcast(leaves), keys)
+    salt = unused(rows, "mix_salt")[0]
+    spread = leaves.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(spread, [*keys, salt]).drop(salt)
 
 
 def _weight(mix: Mix, keys: list[str]) -> Column:
@@ -100,18 +119,18 @@ def _hash(mix: Mix, epoch: Column) -> Column:
 def plan(docs: DataFrame, mix: Mix = PRODUCTION) -> tuple[DataFrame, DataFrame]:
     """(measured documents, leaf plan). The plan has a row a leaf: whole epochs, the bucket in which
     the next epoch's prefix ends, and the tokens that come before that bucket."""
-    measured = stored(docs.select("doc_id", *_leaf(docs), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("n_tokens")).where("n_tokens > 0"), "measured")
+    measured = stored(docs.select("doc_id", *_leaf(mix), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("n_tokens")).where("n_tokens > 0"), "measured")
     leaves = measured.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     dealt = budgets(leaves, mix).withColumn("full", F.expr("budget div tokens")).withColumn("rest", F.col("budget") - F.col("full") * F.col("tokens"))
     dealt = stored(dealt, "budgets")
-    sums = measured.join(dealt.where("rest > 0"), list(LEVELS)).withColumn("bucket", F.substring(_hash(mix, F.col("full") + 1), 1, mix.bucket_digits)).groupBy(*LEVELS, "bucket", "rest").agg(F.sum("n_tokens").alias("t"))
+    sums = _leafed(measured, dealt.where("rest > 0"), list(LEVELS)).withColumn("bucket", F.substring(_hash(mix, F.col("full") + 1), 1, mix.bucket_digits)).groupBy(*LEVELS, "bucket", "rest").agg(F.sum("n_tokens").alias("t"))
     upto = F.sum("t").over(Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     ends = sums.withColumn("upto", upto).where("upto - t < rest and rest <= upto").select(*LEVELS, F.col("bucket").alias("end_bucket"), (F.col("upto") - F.col("t")).alias("before"))
     return measured, stored(dealt.join(ends, list(LEVELS), "left"), "plan")
 
 
 def _in_end_bucket(measured: DataFrame, leaves: DataFrame, mix: Mix) -> DataFrame:
-    last = measured.join(leaves.where("rest > 0"), list(LEVELS)).withColumn("h", _hash(mix, F.col("full") + 1)).where(F.substring("h", 1, mix.bucket_digits) == F.col("end_bucket"))
+    last = _leafed(measured, leaves.where("rest > 0"), list(LEVELS)).withColumn("h", _hash(mix, F.col("full") + 1)).where(F.substring("h", 1, mix.bucket_digits) == F.col("end_bucket"))
     order = Window.partitionBy(*LEVELS).orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     return last.withColumn("start", F.col("before") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).where("start < rest")
 
@@ -120,7 +139,7 @@ def chosen(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
     """(doc_id, domain, lang, source, epoch, n_tokens, taken_tokens): a row for each time a document
     is read. taken_tokens is less than n_tokens only where a leaf's budget ends inside a text."""
     measured, leaves = plan(docs, mix)
-    met = measured.join(leaves, list(LEVELS))
+    met = _leafed(measured, leaves, list(LEVELS))
     out = ["doc_id", *LEVELS, "epoch", "n_tokens", "taken_tokens"]
     whole = F.col("full") + F.when(F.substring(_hash(mix, F.col("full") + 1), 1, mix.bucket_digits) < F.col("end_bucket"), 1).otherwise(0)
     all_of = met.withColumn("times", whole).where("times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("bigint"), "times"))).withColumn("taken_tokens", F.col("n_tokens")).select(*out)
@@ -140,8 +159,8 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     names = unused(docs, *(f"mix_{c}" for c in (*LEVELS, "full", "end", "times", "epoch")))
     leaf, (full, end, times, epoch) = names[:3], names[3:]
     cuts = stored(leaves.join(last, list(LEVELS), "left").select(*(F.col(c).alias(n) for c, n in zip(LEVELS, leaf)), F.col("full").alias(full), F.col("end_hash").alias(end)), "cuts")
-    keys = [F.col(n) == c for n, c in zip(leaf, _leaf(docs))]
-    met = docs.where(F.coalesce("text", F.lit("")).rlike(WORD)).join(cuts, keys[0] & keys[1] & keys[2])
+    rows = docs.where(F.coalesce("text", F.lit("")).rlike(WORD)).withColumns(dict(zip(leaf, _leaf(PRODUCTION))))
+    met = _leafed(rows, cuts, leaf)
     n = F.col(full) + F.when(_hash(PRODUCTION, F.col(full) + 1) <= F.col(end), 1).otherwise(0)
     return met.withColumn(times, n).where(F.col(times) > 0).withColumn(epoch, F.explode(F.sequence(F.lit(1).cast("bigint"), times))).select(*(f"`{c}`" for c in docs.columns))
 
