@@ -9,7 +9,9 @@ text itself becomes byte pieces too, so decoding gives every text back byte for
 The public model is of the merge kind: its scores are ranks. They are read as Zipf's law has them,
 log p = -log((rank + 2.7) log(1.78 V)); a model of the unigram kind is used as it is.
 
-Nulls count as empty texts, which have no piece. Repeated rows keep their own output rows.
+Nulls count as empty texts, which have no piece. Repeated rows keep their own output rows. Of paths
+of equal score the one whose last piece starts first is taken. An empty table gives an empty result.
+A text of any length is solved unit by unit. Other columns pass untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from gridloom.llm._units import encoded, gather, slices, spread, totals
 
 MARK = "▁"
 _UNITS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
+#: Stands for a marker character of a text's own in lists of units; no unit holds a line feed and more.
+OWN = f"\n{MARK}"
 
 
 class DoubleArray:
@@ -278,6 +282,21 @@ def solved(model: Unigram, data: np.ndarray, offsets: np.ndarray, most: int = 1
     return np.concatenate(ids), np.concatenate(sizes)
 
 
+def long_way(model: Unigram, texts: pa.Array, odd: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """encoded() of the odd texts, whose units are told apart text by text."""
+    lists = [[OWN if u is None else u for u in model.units(t)] for t in texts.filter(pa.array(odd)).to_pylist()]
+    return encoded(pa.array(lists, pa.list_(pa.string())))
+
+
+def _solved_long(model: Unigram, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    ids, n = solved(model, *flat(units))
+    at = pc.index(units, OWN).as_py()
+    if at >= 0:
+        start, own = int(n[:at].sum()), np.array([model.byte_ids[b] for b in MARK.encode()], "<i4")
+        ids, n[at] = np.concatenate([ids[:start], own, ids[start + n[at] :]]), len(own)
+    return ids, n
+
+
 def ids_of(model: Unigram, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All ids, and how many each text has. Each distinct unit is solved once."""
     lists, odd = split_units(texts)
@@ -285,10 +304,14 @@ def ids_of(model: Unigram, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ids, n = gather(*solved(model, *flat(units)), index)
     lengths = totals(n, sizes)
     if odd.any():
+        sizes, units, index = long_way(model, texts, odd)
+        more, n = gather(*_solved_long(model, units), index)
+        of_odd = totals(n, sizes)
         parts = np.split(ids, np.cumsum(lengths)[:-1])
-        for i in np.flatnonzero(odd):
-            parts[i] = np.array(model.encode(texts[int(i)].as_py()), dtype="<i4")
-        ids, lengths = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        for i, part in zip(np.flatnonzero(odd), np.split(more, np.cumsum(of_odd)[:-1])):
+            parts[i] = part
+        lengths[odd] = of_odd
+        ids = np.concatenate(parts)
     return ids, lengths
 
 
