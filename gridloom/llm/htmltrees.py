@@ -32,11 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm._common import table
+from gridloom.llm._units import slices
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template xmp iframe noembed noframes".split())
-#: Elements whose content is never text of the page, whatever the trees say.
-NEVER = frozenset("script style noscript template head title textarea select option button svg canvas iframe object math audio video xmp noembed noframes datalist".split())
+#: Scripts, styles, form controls, the head and raw fallbacks are never text of the page, whatever the trees say.
+NEVER = frozenset("script style noscript template head title textarea select option button iframe xmp noembed noframes datalist".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 _CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "figcaption", "summary"}
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
@@ -482,8 +483,7 @@ def extracted(pages: DataFrame, html_col: str = "html", out_col: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for part in (x for y in slices(batch, 0, 4 << 20) for x in (y.slice(at, 64) for at in range(0, y.num_rows, 64))):
                 made = [Page(s) for s in part.column(0).to_pylist()]
                 sizes = [len(p.tag) for p in made]
                 odds = np.split(trees.log_odds(features(made)), np.cumsum(sizes)[:-1])
