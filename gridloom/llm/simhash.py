@@ -11,6 +11,8 @@ is lost that way.
 Nulls count as empty texts; an empty text has fingerprint zero and is linked like any other.
 Repeated rows keep their own output rows; rows without an id
 take part, but give no component their id. Columns other than the id and the text are ignored.
+An empty table gives an empty result. A text of any length is held once with its words. Of equal
+ids in a component any is the least.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridloom.llm._common import stored, table
+from gridloom.llm._common import stored, table, unused
 from gridloom.llm.components import connected_components
 
 DISTANCE = 3
@@ -171,14 +174,15 @@ def links(distinct: DataFrame, distance: int = DISTANCE, bucket_rows: int = 4096
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """(id, fp, component_id) of every row; component_id is the least id reachable over links."""
+    """(id, fp, component, component_id) of every row; component names the component by its least
+    fingerprint (signed), component_id is the least id reachable over links."""
     marked = stored(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("id").alias("first_id"))
     groups = connected_components(links(distinct.select("fp"), distance))
     classes = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = classes.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return marked.join(named, "fp").select("id", "fp", "component_id")
+    named = classes.select("fp", "component").join(least, "component").select("fp", "component", "component_id")
+    return marked.join(named, "fp").select("id", "fp", "component", "component_id")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,9 +191,30 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component: the one with the least id; of repeated rows with that
-    id, one; rows without an id can't be told apart and stay. The keys that stay are joined back to the texts."""
-    found = components(docs)
-    keep = found.where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """Keeps one document of each component: the one with the least id. Where rows with that id differ,
+    each component keeps of its own the one of least fingerprint, text and other columns; rows without
+    an id can't be told apart and stay. The keys that stay are joined back to the texts; rows of
+    repeated ids alone are fingerprinted again."""
+    found = stored(components(docs).where("id is not null").select(F.col("id").alias("doc_id"), "fp", "component", (F.col("id") == F.col("component_id")).alias("least")), "found")
+    keep = stored(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("least").select("doc_id", "n"), "keep")
+    kept = docs.join(keep.where("n = 1"), "doc_id", "left_semi").select(*(f"`{c}`" for c in docs.columns))
+    out = kept.unionByName(docs.where("doc_id is null"))
+    if keep.where("n > 1").limit(1).count() == 0:
+        return out
+    shown = docs.columns
+    fp, of, rank = unused(docs, "near_fp", "near_of", "near_rank")
+    again = docs.join(keep.where("n > 1"), "doc_id", "left_semi").select(*(f"`{c}`" for c in shown)).distinct()
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = shown.index("text")
+        for batch in batches:
+            made = [fingerprint(t.as_buffer().to_pybytes()) if t.is_valid else 0 for t in batch.column(at).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(made, np.uint64).view(np.int64))], names=[*shown, fp])
+
+    marked = again.mapInArrow(mark, T.StructType([*again.schema.fields, T.StructField(fp, T.LongType())]))
+    first = found.where("least").join(keep.where("n > 1"), "doc_id", "left_semi").groupBy("doc_id", "component").agg(F.min("fp").alias("fp"))
+    chosen = first.select(F.col("doc_id").alias(of), F.col("fp").alias(rank))
+    met = marked.join(chosen, (F.col("doc_id") == F.col(of)) & (F.col(fp) == F.col(rank)), "left_semi")
+    order = Window.partitionBy("doc_id", fp).orderBy("text", *(F.col(f"`{c}`").cast("string") for c in shown if c not in ("doc_id", "text")))
+    one = met.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*(f"`{c}`" for c in shown))
+    return out.unionByName(one)
