@@ -43,6 +43,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_bytes(df: DataFrame, text_col: str = "text") -> int:
+    """Bytes of all texts, by one pass: the planner's estimates of derived tables may be far off."""
+    return int(df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")).cast("bigint"))).first()[0] or 0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

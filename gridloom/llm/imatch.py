@@ -2,8 +2,8 @@
 
 The lexicon holds the terms (lower-cased words) whose inverse document frequency lies in a band:
 those in at least ``low`` and at most ``high`` of all documents. Since a document has a bounded
-mean of distinct terms m, the lexicon has at most m / low terms whatever the corpus size; that
-bound is checked before the lexicon is broadcast, else it is joined by key.
+mean of distinct terms m, the lexicon has at most m / low terms whatever the corpus size; its bytes
+are counted before it is broadcast, and beyond ``LEXICON_BYTES`` it is joined by key.
 
 Randomised subsets: family f keeps a term with probability 2^-f by its md5, and deals the kept
 terms into ``SLOTS`` subsets. A fingerprint joins, family by family and subset by subset, eight hex
@@ -14,18 +14,24 @@ half edited text shares with a chance of 0.15 each. A text without any lexicon t
 its terms, repeated.
 
 Nulls count as empty texts; equal texts have equal fingerprints. Repeated rows keep their own
-output rows; among rows of equal id the text decides the order. DataFrame functions alone.
+output rows; among rows of equal id the text decides the order. An empty table gives an empty
+result. A text is held whole with its terms, whatever its length. Columns besides the id and the
+text are not read, whatever their names. DataFrame functions alone.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import BLANKS, partitions, stored, table
+from gridloom.llm._common import BLANKS, partitions, stored, table, text_bytes
 
 SLOTS, FAMILIES, DIGITS = 16, 8, 8
 LOW, HIGH = 0.001, 0.02
+#: Bytes of text that a range should hold, and bytes of a lexicon that is broadcast.
+RANGE_BYTES, LEXICON_BYTES = 64 << 20, 128 << 20
 
 
 def terms(text: Column) -> Column:
@@ -72,11 +78,23 @@ def _ranges(docs: DataFrame, n: int) -> list[int]:
     return sorted(set(found or []))
 
 
+def _range_of(opens: list[int]) -> Column:
+    """The number of the range that holds an id: how many ranges but the first open at it or below. The
+    starts are searched in two steps, so a row meets some 2 * sqrt(ranges) of them."""
+    starts = opens[1:]
+    size = max(1, math.isqrt(len(starts)))
+    blocks = [starts[k : k + size] for k in range(0, len(starts), size)] or [[]]
+    ids = lambda x: F.array(*(F.lit(i) for i in x)).cast("array<bigint>")
+    below = lambda x: F.size(F.filter(x, lambda s: s <= F.col("doc_id")))
+    block = F.greatest(below(ids([b[0] for b in blocks if b])) - 1, F.lit(0))
+    return F.coalesce(block * size + below(F.element_at(F.array(*map(ids, blocks)), block + 1)), F.lit(0))
+
+
 def _with_next(docs: DataFrame) -> DataFrame:
     """Adds (grp, n, wrap): the place in ascending order of id and text. A copy of each range's first row
     closes the range before it (the first range's closes the last), so ``lead`` needs no other range."""
     spark = docs.sparkSession
-    opens = _ranges(docs, max(64, 2 * partitions(spark)))
+    opens = _ranges(docs, max(64, 4 * partitions(spark), -(-text_bytes(docs) // RANGE_BYTES)))
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
     if not opens:
@@ -84,9 +102,7 @@ def _with_next(docs: DataFrame) -> DataFrame:
         heads = ordered.orderBy(F.col("doc_id").asc_nulls_first(), "text").limit(1).withColumn("wrap", F.lit(1))
         return ordered.unionByName(heads)
     # the first range also takes what lies before its opening id, and rows without one
-    starts = F.array(*(F.lit(x).cast("bigint") for x in opens[1:]))
-    grp = F.coalesce(F.size(F.filter(starts, lambda s: s <= F.col("doc_id"))), F.lit(0))
-    rows = rows.withColumn("grp", grp)
+    rows = rows.withColumn("grp", _range_of(opens))
     firsts = docs.where("doc_id is null").select("doc_id", text.alias("text")).agg(F.min("text").alias("text")).where("text is not null").withColumn("doc_id", F.lit(None).cast("bigint")).withColumn("grp", F.lit(0))
     ids = [int(x) for x in opens]
     least = docs.agg(F.min("doc_id")).first()[0]
@@ -102,9 +118,7 @@ def fingerprinted(docs: DataFrame, low: float = LOW, high: float = HIGH) -> Data
     near_edited, near_next."""
     docs = docs.select("doc_id", "text")
     terms_of = lexicon(docs, low, high)
-    bound = 1_000_000
-    if terms_of.limit(bound + 1).count() <= bound:
-        terms_of = F.broadcast(terms_of)
+    held = terms_of.agg(F.sum(F.octet_length("term") + 4 * F.size("slots") + 64)).first()[0] or 0
     order = Window.partitionBy("grp").orderBy("wrap", F.col("doc_id").asc_nulls_first(), "text")
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     placed = _with_next(docs).withColumn("n", F.row_number().over(order)).withColumn("next", F.coalesce(F.lead("text").over(order), F.lit("")))
@@ -118,7 +132,11 @@ def fingerprinted(docs: DataFrame, low: float = LOW, high: float = HIGH) -> Data
     entry = lambda t, m: F.struct(t.alias("term"), F.lit(m).alias("in"))
     marked = F.concat(F.array(entry(F.lit(""), 0)), F.transform(F.array_intersect("own", "other"), lambda t: entry(t, 3)), F.transform(F.array_except("own", "other"), lambda t: entry(t, 1)), F.transform(F.array_except("other", "own"), lambda t: entry(t, 2)))
     flat = both.select("grp", "n", info.alias("info"), F.explode(marked).alias("m")).select("grp", "n", F.when(F.col("m.in") == 0, F.col("info")).alias("info"), "m.term", "m.in")
-    flat = flat.join(terms_of, "term", "left").where("slots is not null or in = 0").select("grp", "n", "info", "term", "in", F.explode_outer("slots").alias("slot"))
+    if held <= LEXICON_BYTES:
+        flat = flat.join(F.broadcast(terms_of), "term", "left")
+    else:  # the rows that carry documents get keys that no term has, so they don't meet in one task
+        flat = flat.withColumn("term", F.when(F.col("in") == 0, F.concat_ws(" ", F.lit(""), "grp", "n")).otherwise(F.col("term"))).join(terms_of, "term", "left")
+    flat = flat.where("slots is not null or in = 0").select("grp", "n", "info", "term", "in", F.explode_outer("slots").alias("slot"))
     # the rows of a range stay in its partition: neither grouping shuffles
     hashed = lambda bit: F.array_sort(F.collect_list(F.when(F.col("in").bitwiseAND(bit) > 0, F.col("term"))))
     digest = lambda c: F.when(F.size(c) > 0, F.substring(F.md5(F.array_join(c, " ")), 1, DIGITS))
