@@ -17,7 +17,9 @@ slice of texts and the document index of one file. Paths may have any scheme tha
 systems know.
 
 Nulls count as empty texts; each document ends with the id ``END``. Rows of equal id are ordered
-by text.
+by text, repeated rows are written as often as they come, rows without an id come first. An empty
+table writes no file. A text of any length is one row of one file; columns besides the id and the
+text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,27 +38,34 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import partitions, shared_dir, stored, table
+from gridloom.llm._common import partitions, shared_dir, stored, table, text_bytes
 from gridloom.llm._units import encoded, gather, slices, totals
 
 MAGIC, CHUNK, END, LEVEL = b"GLBP0001", 1 << 16, 0, 3
 _CUT = "\ue000"
-#: A space before white space or at the end is no safe cut, nor a comma or stop after anything but a letter or digit.
-_ODD = "(?:^|[^\\pL\\pN])[.,]|[ ](?:[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|$)|" + _CUT
+_WS = "\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+#: No safe cuts: a space before white space or at the end, a line feed beside white space or at an end, a
+#: comma or stop after anything but a letter or digit.
+_ODD = f"(?:^|[^\\pL\\pN])[.,]|[ ](?:[{_WS}]|$)|\n(?:[{_WS}]|$)|(?:^|[{_WS}])\n"
+#: Between a letter or digit and a space before another, any text may be cut. Units that end visibly, and begin so or with one space, may be joined.
+_SURE, _JOINABLE = ("([\\pL\\pN])( [\\pL\\pN])", f"\\1{_CUT}\\2"), f"^ ?[^{_WS}](?:(?s:.*)[^{_WS}])?$"
+#: Bytes of joined units that the library gets at once, and bytes of text a file should hold.
+_JOIN, FILE_BYTES = 1 << 14, 256 << 20
 
 
 def to_planes(ids: np.ndarray) -> list[bytes]:
     """The bit planes of ids up to the highest bit in use."""
     ids = ids.astype(np.uint32)
     top = int(ids.max(initial=0)).bit_length()
-    return [np.packbits((ids >> np.uint32(b)) & np.uint32(1)).tobytes() for b in range(top)]
+    byte = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return [np.packbits(byte[b >> 3] & np.uint8(1 << (b & 7))).tobytes() for b in range(top)]
 
 
 def from_planes(planes: list[bytes], n: int) -> np.ndarray:
-    out = np.zeros(n, np.uint32)
+    byte = np.zeros((4, n), np.uint8)
     for b, plane in enumerate(planes):
-        out |= np.unpackbits(np.frombuffer(plane, np.uint8), count=n).astype(np.uint32) << np.uint32(b)
-    return out
+        byte[b >> 3] |= np.unpackbits(np.frombuffer(plane, np.uint8), count=n) << np.uint8(b & 7)
+    return np.ascontiguousarray(byte.T).view("<u4").ravel().astype(np.uint32)
 
 
 class Writer:
@@ -132,14 +141,19 @@ class Reader:
 
     def documents(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(doc ids, sizes, ids of them all), a group of whole documents at a time."""
-        done, rest = 0, np.zeros(0, np.uint32)
+        done, parts, have = 0, [], 0
         for k in range(len(self.index)):
-            rest = np.concatenate([rest, self.chunk(k)])
+            parts.append(self.chunk(k))
+            have += len(parts[-1])
+            if have < self.sizes[done]:
+                continue
+            rest = np.concatenate(parts)
             ends = np.cumsum(self.sizes[done : done + len(rest) + 1])
             n = int(np.searchsorted(ends, len(rest), side="right"))
             if n:
                 yield self.docs[done : done + n], self.sizes[done : done + n], rest[: ends[n - 1]]
-                done, rest = done + n, rest[ends[n - 1] :]
+                done, parts = done + n, [rest[ends[n - 1] :].copy()]
+                have = len(parts[0])
 
 
 def _fs(uri: str):
@@ -152,7 +166,7 @@ class Known:
     """Ids of the first ``most`` distinct units met, as Arrow and NumPy arrays: looked up for all units of
     a slice at once. Frequent units come early; later ones are encoded when they come."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 1_000_000):
         self.most = most
         self.units, self.ids, self.sizes = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
@@ -173,40 +187,78 @@ class Known:
 
 class Coder:
     """The ids of texts by the tokenizers library, each distinct unit once. A unit begins at a space
-    before a visible character, or at a comma or full stop after a letter or digit: pre-tokens never
-    cross those places."""
+    before a visible character, at a comma or full stop after a letter or digit, or is a line feed between
+    visible characters: pre-tokens never cross those places. In texts where these signs stand otherwise too (``_ODD``), units begin only at a
+    space between letters or digits, so such a place stays inside its unit; texts with special tokens
+    go to the library whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.special = [_CUT, *(t.content for t in self.lib.get_added_tokens_decoder().values())]
+        # a byte-level token has a character for each of its bytes
+        self.width = np.array([len(self.lib.id_to_token(i) or "") for i in range(self.lib.get_vocab_size())], np.int64)
         self.known = Known()
 
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        made = [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        return np.fromiter(chain.from_iterable(made), np.uint32, int(sizes.sum())), sizes
+
+    def _joined(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Units that may stand one after another are encoded as a few long strings, those without a space
+        in front after a line feed; their ids are told apart by the bytes that tokens stand for. Where
+        these don't add up, one by one."""
+        names = units.to_pylist()
+        bare = ~pc.starts_with(units, " ").to_numpy(zero_copy_only=False).astype(bool)
+        ends = np.cumsum(pc.binary_length(units).to_numpy().astype(np.int64) + bare)
+        cuts = np.unique(np.append(np.searchsorted(ends, np.arange(_JOIN, ends[-1], _JOIN)), len(ends))).tolist()
+        marked = [f"\n{u}" if b else u for u, b in zip(names, bare.tolist())]
+        ids, _ = self._library(["".join(marked[a:b]) for a, b in zip([0, *cuts], cuts) if a < b])
+        upto = np.cumsum(self.width[ids])
+        last = np.searchsorted(upto, ends)
+        if not len(upto) or upto[-1] != ends[-1] or not (upto[last] == ends).all():
+            return self._library(names)
+        first = np.concatenate([[0], last[:-1] + 1])
+        if (self.width[ids[first[bare]]] != 1).any():
+            return self._library(names)
+        own = np.ones(len(ids), bool)
+        own[first[bare]] = False
+        return ids[own], last - first + 1 - bare
+
     def _encode(self, units: pa.Array, most: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
         """Ids and sizes, some units at a time: the library's encodings take far more room than their ids."""
+        joinable = pc.match_substring_regex(units, _JOINABLE).to_numpy(zero_copy_only=False).astype(bool)
         ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for k in range(0, len(units), most):
-            made = [e.ids for e in self.lib.encode_batch_fast(units.slice(k, most).to_pylist(), add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, made), np.int64, len(made)))
-            ids.append(np.fromiter(chain.from_iterable(made), np.uint32, int(sizes[-1].sum())))
-        return np.concatenate(ids), np.concatenate(sizes)
+        for which, solve in ((joinable, self._joined), (~joinable, lambda u: self._library(u.to_pylist()))):
+            part = units.filter(pa.array(which))
+            for k in range(0, len(part), most):
+                found, n = solve(part.slice(k, most))
+                ids.append(found)
+                sizes.append(n)
+        order = np.argsort(np.concatenate([np.flatnonzero(joinable), np.flatnonzero(~joinable)]), kind="stable")
+        return gather(np.concatenate(ids), np.concatenate(sizes), order)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        odd = pc.match_substring_regex(texts, _ODD)
-        for s in self.special:
-            odd = pc.or_(odd, pc.match_substring(texts, s))
-        marked = pc.if_else(odd, pa.scalar("", texts.type), texts)
+        whole = pc.match_substring(texts, self.special[0])
+        for s in self.special[1:]:
+            whole = pc.or_(whole, pc.match_substring(texts, s))
+        odd = pc.and_not(pc.match_substring_regex(texts, _ODD), whole)
+        marked = pc.if_else(pc.or_(odd, whole), pa.scalar("", texts.type), texts)
         for cut in " ,.":
             marked = pc.replace_substring(marked, cut, _CUT + cut)
+        marked = pc.replace_substring(marked, "\n", f"{_CUT}\n{_CUT}")
+        if pc.any(odd).as_py():
+            marked = pc.if_else(odd, pc.replace_substring_regex(pc.if_else(odd, texts, pa.scalar("", texts.type)), *_SURE), marked)
         sizes, units, index = encoded(pc.split_pattern(marked, _CUT))
         ids, n = gather(*self.known.of(units, self._encode), index)
         lengths = totals(n, sizes)
-        odd = odd.to_numpy(zero_copy_only=False).astype(bool)
-        if odd.any():
+        whole = whole.to_numpy(zero_copy_only=False).astype(bool)
+        if whole.any():
             parts = np.split(ids, np.cumsum(lengths)[:-1])
-            for i in np.flatnonzero(odd):
+            for i in np.flatnonzero(whole):
                 parts[i] = np.array(self.lib.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, dtype="<u4")
             ids, lengths = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
         return ids, lengths
@@ -246,7 +298,7 @@ def write(docs: DataFrame, path: str, folder: str, text_col: str = "text", id_co
             yield pa.RecordBatch.from_pydict({"file": [name], "part": pa.array([part], pa.int32()), "n_docs": [n_docs], "n_ids": [n_ids]})
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange(partitions(docs.sparkSession), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    dealt = rows.repartitionByRange(max(partitions(docs.sparkSession), -(-text_bytes(rows) // FILE_BYTES)), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
     return stored(dealt.mapInArrow(run, "file string, part int, n_docs bigint, n_ids bigint"), "manifest")
 
 
