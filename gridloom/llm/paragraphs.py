@@ -11,14 +11,19 @@ within reach are compared. A repeated passage of 2 * ``WINDOW`` words or more ha
 of each of its windows, so all its words are found; a shorter one, if it has a seed.
 
 Equal lines and windows collapse to one class by hash before anything is compared, so copies cost a
-row each. A bucket with more than ``BUCKET`` different lines is cut into blocks, and each pair of
-blocks is compared in a task of its own; a task emits a spanning forest of the links it finds. No
-bucket is capped.
+row each. A bucket with more than ``BUCKET`` different lines or ``BUCKET_WORDS`` words is cut into
+blocks, and each pair of blocks is compared in a task of its own; a task emits a spanning forest of
+the links it finds. No bucket is capped.
+
+All paragraphs are compared, whatever their length; what is found counts as a repeated passage where
+the paragraphs found in a text, overlapping or side by side, cover ``min_words`` words in a run, so
+common short lines leave a document as it is.
 
 The copy with the least document id stays. Only repeats across different document ids count. Words
 are compared with A-Z lower-cased. Nulls count as empty texts; rows without an id take no part;
 repeated rows of one id are copies of one document. The first text of the stage's result keeps all
-it had.
+it had. An empty table gives an empty result. A text of any length is read whole, in a slice of its
+own. Ties can't arise: the copy is the least id. Other columns pass untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,8 +40,8 @@ from gridloom.llm._common import WORD, stored, table, unused
 from gridloom.llm._units import slices
 from gridloom.llm.components import connected_components
 
-SHINGLE, WINDOW = 5, 25
-BANDS, ROWS, SIMILARITY, BUCKET = 10, 4, 0.8, 2048
+SHINGLE, WINDOW, MIN_WORDS = 5, 25, 50
+BANDS, ROWS, SIMILARITY, BUCKET, BUCKET_WORDS = 10, 4, 0.8, 2048, 1 << 18
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 _SLICE = 1 << 20
 _U = np.uint64
@@ -307,12 +312,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_lines(docs: DataFrame, bands: DataFrame) -> DataFrame:
     """(class, component): lines with a different line at the similarity or more, by class."""
     met = bands.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
-    members = stored(bands.join(met, "key").groupBy("key", "class").agg(F.min("doc_id").alias("doc_id")), "members")
+    members = stored(bands.join(met, "key").groupBy("key", "class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("words")), "members")
     # bands that hold the same lines are one bucket
-    groups = members.groupBy("key").agg(F.count("*").alias("n"), F.expr("sum(cast(xxhash64(class) as decimal(38,0)))").alias("h")).groupBy("n", "h").agg(F.min("key").alias("key"))
+    groups = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.expr("sum(cast(xxhash64(class) as decimal(38,0)))").alias("h")).groupBy("n", "h").agg(F.min("key").alias("key"), F.max("words").alias("all_words"))
     wanted = members.groupBy("class").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("class").alias("classes"))
     sets = docs.join(wanted, "doc_id").select("text", "classes").mapInArrow(_shingle_sets, "class bigint, shingles array<bigint>").dropDuplicates(["class"])
-    blocks = F.ceil(F.col("n") / BUCKET).cast("int")
+    blocks = F.greatest(F.ceil(F.col("n") / BUCKET), F.ceil(F.col("all_words") / BUCKET_WORDS)).cast("int")
     parted = members.join(groups, "key").select("key", "class", blocks.alias("k"), F.pmod(F.xxhash64("class"), blocks).cast("int").alias("c"))
     tasks = parted.select("class", "c", "key", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
     tasks = tasks.select("class", F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("bucket"), F.col("c").alias("side"))
@@ -321,8 +326,20 @@ def near_lines(docs: DataFrame, bands: DataFrame) -> DataFrame:
     return connected_components(links).withColumnRenamed("node", "class")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, first, n, copy_of): spans of words that stand in a document of lesser id too."""
+def _passages(spans: DataFrame, min_words: int) -> DataFrame:
+    """The spans inside runs of min_words words or more, all of a document's spans taken together."""
+    order = Window.partitionBy("doc_id").orderBy("first", "n")
+    upto = F.max(F.col("first") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    run = F.sum(F.when(F.col("first") <= F.col("upto"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    marked = spans.withColumn("upto", upto).withColumn("run", run)
+    whole = Window.partitionBy("doc_id", "run")
+    long = marked.withColumn("words", F.max(F.col("first") + F.col("n")).over(whole) - F.min("first").over(whole))
+    return long.where(F.col("words") >= min_words).select(*spans.columns)
+
+
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, first, n, copy_of): spans of words that stand in a document of lesser id too, those in
+    runs of at least min_words words."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     units = stored(rows.mapInArrow(_units, _UNITS), "units")
     exact = units.where("kind = 0")
@@ -332,14 +349,15 @@ def repeats(docs: DataFrame) -> DataFrame:
     lines = exact.join(near, "class")
     least = lines.groupBy("component").agg(F.min("doc_id").alias("copy_of"))
     alike = lines.join(least, "component").where("doc_id <> copy_of").select("doc_id", "first", "n", "copy_of")
-    return stored(same.drop("key").unionByName(alike).unionByName(inside), "repeats")
+    return stored(_passages(same.drop("key").unionByName(alike).unionByName(inside), min_words), "repeats")
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each document and each document that it repeats: where the repeated words begin, the
-    number of spans and of their words (overlaps count once a span)."""
+    """A row for each document and each document that it repeats: where the repeated words begin and
+    end, the number of spans, and the spans themselves (first word, words) in order."""
     found = repeats(table(spark, sf_dir, "documents"))
-    return found.groupBy("doc_id", "copy_of").agg(F.min("first").cast("bigint").alias("first_word"), F.count("*").alias("n_spans"), F.max(F.col("first") + F.col("n")).cast("bigint").alias("end_word"))
+    span = F.struct(F.col("first").cast("bigint").alias("first"), F.col("n").cast("bigint").alias("n"))
+    return found.groupBy("doc_id", "copy_of").agg(F.min("first").cast("bigint").alias("first_word"), F.count("*").alias("n_spans"), F.max(F.col("first") + F.col("n")).cast("bigint").alias("end_word"), F.array_sort(F.collect_set(span)).alias("spans"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,10 +386,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([texts, *part.columns[2:]], names=["text", *part.schema.names[2:]])
 
 
-def stage_substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without their repeated spans; those left without a word go."""
+def stage_substring(spark: SparkSession, docs: DataFrame, sf_dir: str, min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents without their repeated passages; those left without a word go."""
     cut_id, cut_spans = unused(docs, "cut_id", "cut_spans")
-    spans = repeats(docs).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias(cut_spans)).withColumnRenamed("doc_id", cut_id)
+    spans = repeats(docs, min_words).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias(cut_spans)).withColumnRenamed("doc_id", cut_id)
     others = [c for c in docs.columns if c != "text"]
     met = docs.join(spans, F.col("doc_id") == F.col(cut_id), "left").select("text", cut_spans, *(f"`{c}`" for c in others))
     schema = docs.select("text", *(f"`{c}`" for c in others)).schema
