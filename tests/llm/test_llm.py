@@ -71,6 +71,24 @@ def test_operators_on_awkward_tables(spark, awkward, empty):
     assert mixing.chosen(awkward).count() > 0 and paragraphs.repeats(awkward).count() == 0
 
 
+def test_sentence_end_is_read_behind_blanks_and_closing_signs(spark):
+    line = "one two three four five six seven eight nine ten eleven twelve"
+    ends = [(". " + " " * 30, True), (".\"')]\t \t" + " " * 40, True), (" " * 20, False), (". ) ", False), ("\u2026" + "\u201d" * 20, True), ("", False)]
+    found, rules = quality.judged(docs_of(spark, [line + e for e, _ in ends]))
+    got = {r["doc_id"]: r["kept"] for r in found.select("doc_id", f"{rules}.kept").collect()}
+    assert got == {i: ok for i, (_, ok) in enumerate(ends)}
+
+
+def test_near_dedup_keeps_every_differing_text_of_an_id(spark):
+    r = random.Random(12)
+    w = lambda: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(40))
+    a, b, c, d = w(), w(), w(), w()
+    rows = [(1, a), (1, b), (1, a), (2, c), (2, b), (3, c), (4, d), (4, d), (None, d)]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], SCHEMA)
+    got = sorted((str(x["doc_id"]), x["text"]) for x in simhash.stage_near_dedup(spark, docs, SF).collect())
+    assert got == sorted([("1", a), ("1", b), ("2", c), ("4", d), ("None", d)])
+
+
 # --- components, SimHash
 
 
@@ -159,6 +177,21 @@ def test_mix_takes_whole_budgets(spark):
     assert ((got["taken_tokens"] < got["n_tokens"]).sum()) <= 1
 
 
+def test_many_leaves_are_salted(spark, monkeypatch):
+    docs = docs_of(spark, [" ".join(["w"] * (1 + i % 7)) for i in range(300)]).withColumn("source", F.concat(F.lit("src"), (F.col("doc_id") % 9).cast("string")))
+    plain = sorted(map(tuple, mixing.chosen(docs).collect()))
+    stage = sorted(map(tuple, mixing.stage_mixing(spark, docs, SF).collect()))
+    monkeypatch.setattr(mixing, "PLAN_ROWS", 2)
+    assert sorted(map(tuple, mixing.chosen(docs).collect())) == plain and sorted(map(tuple, mixing.stage_mixing(spark, docs, SF).collect())) == stage
+
+
+def test_imatch_ranges_hold_ids_in_order(spark):
+    opens = sorted(random.Random(15).sample(range(-500, 500), 90))
+    got = spark.range(-600, 600).toDF("doc_id").select("doc_id", imatch._range_of(opens).alias("g")).collect()
+    assert all(r["g"] == sum(o <= r["doc_id"] for o in opens[1:]) for r in got)
+    assert spark.range(3).toDF("doc_id").select(imatch._range_of([0]).alias("g")).distinct().collect()[0]["g"] == 0
+
+
 # --- toxicity
 
 
@@ -228,10 +261,10 @@ def test_every_word_of_repeated_passages_goes_at_every_place(spark):
     around = [[w(r.randrange(1, 30)) for _ in range(3)] for _ in passages]
     texts = first + [f"{a} {p} {b} {p} {c}" for (a, b, c), p in zip(around, passages)]
     docs = docs_of(spark, texts)
-    out = {x["doc_id"]: x["text"] for x in paragraphs.stage_substring(spark, docs, SF).collect()}
+    out = {x["doc_id"]: x["text"] for x in paragraphs.stage_substring(spark, docs, SF, 1).collect()}
     assert out[0] == texts[0] and out[1] == texts[1].replace(f" {part}", "")
     assert [out[i + 2] for i in range(len(passages))] == [" ".join(x) for x in around]
-    spans = {(x["doc_id"], x["first"], x["n"]) for x in paragraphs.repeats(docs).where("copy_of = 1").collect()}
+    spans = {(x["doc_id"], x["first"], x["n"]) for x in paragraphs.repeats(docs, 1).where("copy_of = 1").collect()}
     whole = {(i + 2, len(f"{a} {p} {b}".split()) if k else len(a.split()), len(p.split())) for i, ((a, b, _), p) in enumerate(zip(around[:-1], passages)) for k in (0, 1)}
     assert whole <= spans
 
@@ -244,11 +277,26 @@ def test_short_lines_are_met_by_content_and_likeness(spark):
     a = ["\n".join(" ".join(x) for x in (w(30), *lines, *long)), " ".join(w(20))]
     b = [w(8), *lines, w(7), *([*x[:-1], "other"] for x in long), [*w(6), *long[0][:6]]]
     docs = docs_of(spark, [*a, "\n".join(" ".join(x) for x in b)])
-    out = {x["doc_id"]: x["text"] for x in paragraphs.stage_substring(spark, docs, SF).collect()}
+    out = {x["doc_id"]: x["text"] for x in paragraphs.stage_substring(spark, docs, SF, 1).collect()}
     assert out[0] == a[0] and out[1] == a[1]
     assert out[2].split() == [*b[0], *b[8], *b[12]]
 
 
+def test_only_runs_of_fifty_words_are_passages(spark):
+    r = random.Random(18)
+    w = lambda n: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(n))
+    short, enough, hot = w(49), w(50), w(12)
+    lines = [w(9), w(20), w(25)]  # 54 words side by side, line by line, are a passage
+    a = "\n".join([f"{w(5)} {short} {w(5)} {enough} {w(5)}", hot, *lines])
+    b = "\n".join([f"{w(7)} {short} {w(7)} {enough} {w(7)}", w(6), hot, w(8), *lines])
+    docs = docs_of(spark, [a, w(80), b, f"{w(30)}\n{hot}\n{w(30)}"])
+    out = {x["doc_id"]: x["text"] for x in paragraphs.stage_substring(spark, docs, SF).collect()}
+    assert out[0] == a and len(out) == 4
+    kept = [x for x in b.split() if x not in {*enough.split(), *" ".join(lines).split()}]
+    assert out[2].split() == kept and hot in out[3]
+    assert {x["doc_id"] for x in paragraphs.repeats(docs).collect()} == {2}
+
+
 def test_line_links_against_all_pairs():
     r = np.random.default_rng(7)
     base = [np.unique(r.integers(0, 10**6, 100)) for _ in range(5)]
@@ -312,6 +360,15 @@ def test_token_files_against_the_library(spark, awkward, empty, tmp_path):
     assert tokenbin.write(empty, tokenbin.tokenizer_path(), f"{folder}0").count() == 0
 
 
+def test_token_ids_of_odd_texts_are_the_library_s():
+    coder, r = tokenbin.Coder(tokenbin.tokenizer_path()), random.Random(13)
+    bits = ["\n", "A", "word", " word", ",", ".", " ", "  ", '"', ').', "\u2026,", "'s", " 12", " 3.5", "\u00a0", "漢字", " é", "!", "", "<|endoftext|>", "\t", " a", "¼", "\r\n", tokenbin._CUT]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(40))) for _ in range(3000)] + ["word, " * 200_000 + '"quoted". ' * 1000]
+    ids, n = coder.ids(pa.array(texts))
+    for t, got in zip(texts, np.split(ids, np.cumsum(n)[:-1])):
+        assert got.tolist() == coder.lib.encode(t, add_special_tokens=False).ids
+
+
 def brute(model, unit):
     best = [(0.0, [])] + [None] * len(unit)
     for e in range(1, len(unit) + 1):
@@ -336,6 +393,16 @@ def test_viterbi_and_trie_counts():
         assert got.tolist() == brute(model, u) == model.viterbi(u) and n == len(got)
 
 
+def test_odd_texts_have_the_ids_and_counts_of_the_definition(spark):
+    model, r = unigram.public_model(unigram.model_path()), random.Random(14)
+    bits = [" ", "  ", "▁", "\n", "word", "é", "a b", "x" * 300, "漢"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(12))) for _ in range(400)]
+    ids, n = unigram.ids_of(model, pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [model.encode(t) for t in texts]
+    got = {x["doc_id"]: (x["n_pretokens"], x["n_tokens"]) for x in tokencount.counts(docs_of(spark, texts), unigram.model_path()).collect()}
+    assert got == {i: (len(model.units(t)), len(model.encode(t))) for i, t in enumerate(texts)}
+
+
 def test_viterbi_scores_as_the_library_does():
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
@@ -393,6 +460,8 @@ and a break.<p>Second &copy; para, unclosed.<div class="ad">Buy now, friend.</di
 def test_html_page(spark):
     want = "A title & more\nFirst para with bold text and a break.\nSecond © para, unclosed.\nThird."
     assert htmltrees.extract(PAGE, htmltrees.forest()) == want
+    drawn = "<html><body><article><p>The area of a circle is <math><mi>pi</mi> r</math> as shown, which everyone knows well, and <svg><text>label</text></svg> says so.</p></article></body></html>"
+    assert htmltrees.extract(drawn, htmltrees.forest()) == "The area of a circle is pi r as shown, which everyone knows well, and label says so."
     rows = spark.createDataFrame([(1, "u", PAGE), (2, "u", None), (3, None, ""), (4, "u", "<"), (5, "u", "a < b & c"), (6, "u", "<article><p>cut off " + "<div>" * 2000)], "page_id bigint, url string, html string")
     got = {r["page_id"]: r["text"] for r in htmltrees.extracted(rows).collect()}
     assert got[1] == want and got[2] == got[3] == "" and got[5] == "a < b & c" and got[6] == "cut off"
