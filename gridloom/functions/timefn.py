@@ -184,10 +184,14 @@ def _spline(x: Column, order: int, power: int) -> Column:
 
 @dataclass(frozen=True)
 class BSpline(Centered):
-    order: int = 3
+    order: int = 2
     scale: float = 1.0
     regularised = True
 
+    def __post_init__(self):
+        if self.order < 0 or self.scale <= 0:
+            raise ValueError("a spline needs an order of 0 or more and a positive scale")
+
     def raw(self, t):
         return _spline(self.norm(t) / self.scale + (self.order + 1) / 2, self.order, self.order) / math.factorial(self.order)
 
@@ -233,17 +237,17 @@ def _knots(tmin: float, tmax: float, num: int) -> tuple[list[float], float]:
     return [tmin + k * step for k in range(num)], step
 
 
-def bspline_set(tmin: float, tmax: float, num: int, order: int = 3) -> list[Basis]:
+def bspline_set(tmin: float, tmax: float, num: int, order: int = 2) -> list[Basis]:
     at, step = _knots(tmin, tmax, num)
     return [BSpline(tref=x, scale=step, order=order) for x in at]
 
 
-def ispline_set(tmin: float, tmax: float, num: int, order: int = 3) -> list[Basis]:
+def ispline_set(tmin: float, tmax: float, num: int, order: int = 2) -> list[Basis]:
     at, step = _knots(tmin, tmax, num)
     return [ISpline(tref=x, scale=step, order=order) for x in at]
 
 
-def pbspline_set(tref: float, num: int, period: float = 1.0, order: int = 3) -> list[Basis]:
+def pbspline_set(tref: float, num: int, period: float = 1.0, order: int = 2) -> list[Basis]:
     return [PBSpline(tref=tref, scale=period / num, order=order, period=period, offset=k * period / num) for k in range(num)]
 
 

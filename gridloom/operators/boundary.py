@@ -74,10 +74,11 @@ def smoothed(b: DataFrame, window: int) -> DataFrame:
     r = len(k) // 2
     w = Window.partitionBy(F.lit(1)).orderBy("seq")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    back = Window.partitionBy(F.lit(1)).orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = b.withColumn("n", F.count("*").over(whole)).withColumn("i", F.row_number().over(w))
     for c in ("x", "y"):
         first, second = F.first(c).over(whole), F.nth_value(c, 2).over(whole)
-        last, before = F.last(c).over(whole), F.element_at(F.collect_list(c).over(whole), -2)
+        last, before = F.last(c).over(whole), F.nth_value(c, 2).over(back)
         total = F.lit(0.0)
         for o, wt in zip(range(-r, r + 1), k):
             if wt:

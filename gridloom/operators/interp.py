@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.crs import transform
 from gridloom.header import Header
 from gridloom.operators.raster import Raster, meshgrid
 from gridloom.operators.stencil import mapped
@@ -65,6 +66,30 @@ def resample(r: Raster, header: Header, order: int = 3, mode: str = "constant",
     return Raster(found.select("row", "col", "val"), header)
 
 
+def warp(r: Raster, header: Header, source_epsg: int, target_epsg: int, order: int = 3, mode: str = "constant", fill: float = 0.0) -> Raster:
+    """Onto a grid of another reference system: its cell centres are projected back, then interpolated."""
+    cells = meshgrid(r.cells.sparkSession, header)
+    x, y = transform(F.col("x"), F.col("y"), target_epsg, source_epsg)
+    found = interpolate(r, cells.select("row", "col", x.alias("x"), y.alias("y")), ["row", "col"], order, mode, fill)
+    return Raster(found.select("row", "col", "val"), header)
+
+
+def resample_stack(obs: DataFrame, header: Header, target: Header, order: int = 3, fill: float = 0.0) -> DataFrame:
+    """(row, col, k, val) on another grid, every epoch at once: the weights of a target cell are made once
+    and met by the observations under their cells. Missing where a cell with weight is missing (no row);
+    targets outside the source grid have ``fill`` in every epoch."""
+    at = meshgrid(obs.sparkSession, target).withColumn("cf", (F.col("x") - header.xstart) / header.dx).withColumn("rf", (F.col("y") - header.ystart) / header.dy)
+    inside = F.col("rf").between(0, header.ny - 1) & F.col("cf").between(0, header.nx - 1)
+    rows = F.array(*(F.struct(mapped(i, header.ny, "symmetric").alias("i"), w.alias("w")) for i, w in _weights(F.col("rf"), order)))
+    cols = F.array(*(F.struct(mapped(i, header.nx, "symmetric").alias("i"), w.alias("w")) for i, w in _weights(F.col("cf"), order)))
+    used = lambda x: F.filter(x, lambda e: e["w"] != 0)
+    near = at.where(inside).select(F.col("row").alias("r"), F.col("col").alias("c"), used(rows).alias("a"), used(cols).alias("b")).withColumn("need", F.size("a") * F.size("b"))
+    keyed = near.withColumn("a", F.explode("a")).withColumn("b", F.explode("b")).select("r", "c", "need", F.col("a.i").alias("row"), F.col("b.i").alias("col"), (F.col("a.w") * F.col("b.w")).alias("w"))
+    met = obs.where("val is not null").join(keyed, ["row", "col"]).groupBy("r", "c", "k", "need").agg(F.sum(F.col("w") * F.col("val")).alias("val"), F.count("*").alias("n"))
+    out = met.where("n = need").select(F.col("r").alias("row"), F.col("c").alias("col"), "k", "val")
+    return out.unionByName(at.where(~inside).select("row", "col").crossJoin(obs.select("k").distinct()).select("row", "col", "k", F.lit(float(fill)).alias("val")))
+
+
 def transect(r: Raster, start: tuple[float, float], end: tuple[float, float], n: int, order: int = 3) -> DataFrame:
     """(i, x, y, val) at n points from start to end."""
     t = F.col("i") / (n - 1)

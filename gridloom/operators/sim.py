@@ -78,16 +78,140 @@ def quadratic_root(a: Column, b: Column, c: Column) -> Column:
     return F.when(a == 0, F.try_divide(-c, b)).when(F.abs(x) <= F.abs(y), x).otherwise(y)
 
 
-def refine(p: DataFrame, thresh: float, keys: list[str] | None = None, rounds: int = 4) -> DataFrame:
-    """Cells across which u changes by more than thresh are halved, again and again; new nodes lie half way."""
+class Spline:
+    """Cubic through all points, not-a-knot at both ends; fewer than four points: the polynomial through them."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.x, self.y = np.asarray(x, float), np.asarray(y, float)
+        n, h = len(x), np.diff(self.x)
+        self.poly = np.polyfit(self.x - self.x[0], self.y, n - 1) if n < 4 else None
+        if self.poly is not None:
+            return
+        rhs = 6 * np.diff(np.diff(self.y) / h)
+        low, mid, up = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy()
+        # the outer second derivatives continue the line through the next two
+        mid[0], up[0] = mid[0] + h[0] * (1 + h[0] / h[1]), up[0] - h[0] ** 2 / h[1]
+        mid[-1], low[-1] = mid[-1] + h[-1] * (1 + h[-1] / h[-2]), low[-1] - h[-1] ** 2 / h[-2]
+        for i in range(1, n - 2):
+            f = low[i] / mid[i - 1]
+            mid[i] -= f * up[i - 1]
+            rhs[i] -= f * rhs[i - 1]
+        m = np.zeros(n)
+        for i in range(n - 2, 0, -1):
+            m[i] = (rhs[i - 1] - (up[i - 1] * m[i + 1] if i < n - 2 else 0.0)) / mid[i - 1]
+        m[0], m[-1] = m[1] - h[0] / h[1] * (m[2] - m[1]), m[-2] + h[-1] / h[-2] * (m[-2] - m[-3])
+        self.m, self.h = m, h
+
+    def __call__(self, at: np.ndarray) -> np.ndarray:
+        at = np.asarray(at, float)
+        if self.poly is not None:
+            return np.polyval(self.poly, at - self.x[0])
+        i = np.clip(np.searchsorted(self.x, at, side="right") - 1, 0, len(self.x) - 2)
+        h, a, b = self.h[i], self.x[i + 1] - at, at - self.x[i]
+        return (self.m[i] * a**3 + self.m[i + 1] * b**3) / (6 * h) + (self.y[i] / h - self.m[i] * h / 6) * a + (self.y[i + 1] / h - self.m[i + 1] * h / 6) * b
+
+    def roots(self) -> np.ndarray:
+        """Where it is zero between its first and last point."""
+        found = []
+        for i in range(len(self.x) - 1):
+            t = np.linspace(self.x[i], self.x[i + 1], 4)
+            c = np.polyfit(t - t[0], self(t), 3)
+            r = np.roots(c)
+            r = np.sort(r[np.abs(r.imag) < 1e-9 * max(1.0, t[-1] - t[0])].real) + t[0]
+            found += [v for v in r if t[0] <= v < t[-1] or i == len(self.x) - 2 and v == t[-1]]
+        return np.array(found)
+
+
+_NODES = ("x", "h", "b", "u")
+
+
+def moved(p: pd.DataFrame, x: np.ndarray, extrapolate: bool = False) -> pd.DataFrame:
+    """The profile (sorted by x) at other coordinates, h, b and u by cubic splines."""
+    old = p["x"].to_numpy(float)
+    if not extrapolate and (x.min() < old[0] or x.max() > old[-1]):
+        raise ValueError("coordinates beyond the profile")
+    return pd.DataFrame({"i": np.arange(len(x), dtype=np.int32), "x": x} | {c: Spline(old, p[c].to_numpy(float))(x) for c in _NODES[1:]})
+
+
+def _each(p: DataFrame, keys: list[str] | None, f) -> DataFrame:
+    """f over each scenario's profile, a bounded list of nodes in order of x."""
+    keys = keys or []
+    schema = ", ".join([*(f"`{k}` {p.schema[k].dataType.simpleString()}" for k in keys), "i int", *(f"{c} double" for c in _NODES)])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = f(pdf.sort_values("x", ignore_index=True))
+        return pd.concat([pd.DataFrame({k: [pdf[k].iloc[0]] * len(out) for k in keys}), out], axis=1) if keys else out
+
+    return p.select(*keys, "i", *_NODES).groupBy(*keys).applyInPandas(run, schema)
+
+
+def update_coordinates(p: DataFrame, x: np.ndarray, keys: list[str] | None = None, extrapolate: bool = False) -> DataFrame:
+    return _each(p, keys, lambda q: moved(q, np.asarray(x, float), extrapolate))
+
+
+def set_ydata(p: DataFrame, new: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """p with the columns of h, b, u that new (keys, i, ...) has taken from it; derived() follows anew."""
+    on, names = [*(keys or []), "i"], [c for c in ("h", "b", "u") if c in new.columns]
+    met = p.join(new.select(*on, *(F.col(c).alias(f"new_{c}") for c in names)), on, "left")
+    return met.select(*(F.coalesce(f"new_{c}", c).alias(c) if c in names else c for c in p.columns))
+
+
+def refined_coordinates(x: np.ndarray, u: np.ndarray, thresh: float = 5.0, dx_min: float = 10.0, rounds: int = 10) -> np.ndarray:
+    """Cells wider than 2 * dx_min across which u grows by more than thresh are halved, until none is or
+    the rounds end; u between the given nodes is their cubic spline."""
+    x, f, v = np.asarray(x, float), Spline(x, u), np.asarray(u, float)
     for _ in range(rounds):
-        w = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("x")
-        p = p.withColumns({f"{c}_next": F.lead(c).over(w) for c in ("x", "h", "b", "u")})
-        p = p.withColumns({f"{c}_mid": (F.col(c) + F.col(f"{c}_next")) / 2 for c in ("x", "h", "b", "u")})
-        own, mid = F.struct("x", "h", "b", "u"), F.struct(*(F.col(f"{c}_mid").alias(c) for c in ("x", "h", "b", "u")))
-        nodes = F.when(F.abs(F.col("u_next") - F.col("u")) > thresh, F.array(own, mid)).otherwise(F.array(own))
-        p = p.select(*(keys or []), F.explode(nodes).alias("node")).select(*(keys or []), "node.*")
-    return p.withColumn("i", (F.row_number().over(Window.partitionBy(*(keys or [F.lit(1)])).orderBy("x")) - 1).cast("int"))
+        split = np.flatnonzero((np.diff(v) > thresh) & (np.diff(x) > 2 * dx_min))
+        if not len(split):
+            break
+        x = np.insert(x, split + 1, (x[split] + x[split + 1]) / 2)
+        v = f(x)
+    return x
+
+
+def refine(p: DataFrame, thresh: float = 5.0, keys: list[str] | None = None, dx_min: float = 10.0, rounds: int = 10) -> DataFrame:
+    """The profile at its refined coordinates."""
+    return _each(p, keys, lambda q: moved(q, refined_coordinates(q["x"].to_numpy(), q["u"].to_numpy(), thresh, dx_min, rounds)))
+
+
+def _height(q: pd.DataFrame) -> np.ndarray:
+    """Above flotation."""
+    return (q["b"] + q["h"] * RHO_ICE / RHO_WATER).to_numpy(float)
+
+
+def _spaced(first: float, last: float, n: int, dx: float, most: float, more: int) -> np.ndarray:
+    """n even nodes; one more or less if the spacing passes the bound most (in units of dx)."""
+    x = np.linspace(first, last, n)
+    beyond = x[1] - x[0] > most * dx if more > 0 else x[1] - x[0] < most * dx
+    return np.linspace(first, last, n + more) if beyond else x
+
+
+def advanced(q: pd.DataFrame, pad: int = 5) -> pd.DataFrame:
+    """The front moves to where a parabola through the last heights above flotation is zero."""
+    x = q["x"].to_numpy(float)
+    roots = np.roots(np.polyfit(x[-pad:] - x[-1], _height(q)[-pad:], 2))
+    roots = roots[np.isreal(roots)].real
+    if not len(roots):
+        raise ValueError("the height above flotation has no zero")
+    front, dx = roots[np.abs(roots).argmin()] + x[-1], x[1] - x[0]
+    return moved(q, _spaced(x[0], front, len(x) + int(np.round((front - x[-1]) / dx)), dx, 1.05, 1), True)
+
+
+def retreated(q: pd.DataFrame) -> pd.DataFrame:
+    """The front moves back to the one zero of the height above flotation."""
+    x, roots = q["x"].to_numpy(float), Spline(q["x"].to_numpy(float), _height(q)).roots()
+    if len(roots) != 1:
+        raise ValueError(f"{len(roots)} zeros of the height above flotation")
+    dx = x[1] - x[0]
+    return moved(q, _spaced(x[0], roots[0], len(x) - int(np.round((x[-1] - roots[0]) / dx)), dx, 0.95, -1))
+
+
+def advance_terminus(p: DataFrame, keys: list[str] | None = None, pad: int = 5) -> DataFrame:
+    return _each(p, keys, lambda q: advanced(q, pad))
+
+
+def retreat_terminus(p: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    return _each(p, keys, retreated)
 
 
 def calving_force(t: Column, h: Column, a: float, mode: str = "constant", cval: float = 1.0, amplitude: float = 0.2, period: float = 1.0, n: float = 3.0, fs=None) -> Column:
@@ -171,14 +295,15 @@ def jacobian(u: np.ndarray, d: np.ndarray, h: np.ndarray, alpha: np.ndarray, a:
 
 
 def find_root(f, jac, u: np.ndarray, delta: float = 0.2, tol: float = 1e-5, reltol: float = 1e-10, n_iter: int = 500) -> tuple[np.ndarray, float, int]:
-    """Damped Gauss-Newton: (u, norm of the residual, steps)."""
-    norms = [np.linalg.norm(f(u))]
-    for k in range(n_iter):
-        if norms[-1] < tol or k >= 5 and abs(norms[-1] - norms[-2]) / norms[-2] < reltol:
+    """Damped Gauss-Newton: (u, norm of the residual, steps). It ends at the tolerance, or after more than
+    five steps where the residual moves by less than reltol."""
+    now, k = f(u), 0
+    while k < n_iter and np.linalg.norm(now) >= tol:
+        u = u - delta * np.linalg.lstsq(jac(u), now, rcond=None)[0]
+        before, now, k = now, f(u), k + 1
+        if k > 5 and np.linalg.norm(now - before) < reltol:
             break
-        u = u - delta * np.linalg.lstsq(jac(u), f(u), rcond=None)[0]
-        norms.append(np.linalg.norm(f(u)))
-    return u, float(norms[-1]), len(norms) - 1
+    return u, float(np.linalg.norm(now)), k
 
 
 def ensemble(scenarios: DataFrame, n_iter: int = 500) -> DataFrame:

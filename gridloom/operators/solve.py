@@ -241,12 +241,14 @@ def detrend(obs: DataFrame, fits: DataFrame, epochs: DataFrame, model: Collectio
 
 
 def iterate(obs: DataFrame, epochs: DataFrame, model: Collection, n_std: float = 3.0, n_iter: int = 3, n_min: int = 20, solver: Callable = lsqr, **more) -> tuple[DataFrame, DataFrame]:
-    """(fits, cleaned observations): fit, drop residuals beyond n_std deviations of the pixel, repeat."""
+    """(fits, cleaned observations): fit, drop residuals beyond n_std deviations of the pixel, repeat.
+    Residuals below 1e-9 of the pixel's largest value are rounding and never drop a value."""
     fits = solver(obs, epochs, model, n_min=n_min, **more)
     for _ in range(n_iter - 1):
         res = residuals(obs, fits, epochs, model)
-        sigma = res.groupBy(*PIXEL).agg(F.stddev_pop("res").alias("sd"))
-        obs = res.join(sigma, PIXEL).withColumn("val", F.when(F.abs("res") <= n_std * F.col("sd"), F.col("val"))).drop("res", "sd")
+        sigma = res.groupBy(*PIXEL).agg(F.stddev_pop("res").alias("sd"), (1e-9 * F.max(F.abs("val"))).alias("least"))
+        far = F.abs("res") > F.greatest(n_std * F.col("sd"), F.col("least"))
+        obs = res.join(sigma, PIXEL).withColumn("val", F.when(~far, F.col("val"))).drop("res", "sd", "least")
         fits = solver(obs, epochs, model, n_min=n_min, **more)
     return fits, obs
 

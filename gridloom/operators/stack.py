@@ -85,6 +85,18 @@ def combined(stacks: list[DataFrame], how: str) -> DataFrame:
     return out.select(*PIXEL, "k", v.alias("val"))
 
 
+def combined_timeseries(stacks: list[DataFrame], how: str, row: int, col: int, win: int, ny: int, nx: int) -> DataFrame:
+    """(k, val): each stack's mean over the window first, then their magnitude or sum."""
+    series = [timeseries(s, row, col, win, ny, nx).select(F.lit(0).alias("row"), F.lit(0).alias("col"), "k", "val") for s in stacks]
+    return combined(series, how).select("k", "val")
+
+
+def snapshot(stacks: list[DataFrame], k: int, row0: int, row1: int, col0: int, col1: int) -> DataFrame:
+    """(row, col, val): the sum of reconstructed stacks at one epoch, in a window."""
+    parts = [chunk(s.where(F.col("k") == k), row0, row1, col0, col1) for s in stacks]
+    return combined(parts, "sum").select(*PIXEL, "val")
+
+
 def difference(obs: DataFrame, k: int, reference: int) -> DataFrame:
     """A frame less a reference frame."""
     return epoch(obs, k).join(epoch(obs, reference).withColumnRenamed("val", "ref"), PIXEL).select(*PIXEL, (F.col("val") - F.col("ref")).alias("val"))

@@ -8,6 +8,8 @@ shuffle.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,6 +54,12 @@ def gradients(r: Raster, edge_order: int = 2) -> DataFrame:
     return gradient(g, "col", ["row"], r.header.dx, edge_order, out="dval_dx")
 
 
+def windows(size: float | tuple[float, float], spacing: float | tuple[float, float]) -> tuple[int, int]:
+    """(rows, columns): odd window sizes in pixels that hold the size in units of the spacing."""
+    pair = lambda v: v if isinstance(v, tuple) else (v, v)
+    return tuple(n + 1 - n % 2 for n in (math.ceil(abs(s / d)) for s, d in zip(pair(size), pair(spacing))))
+
+
 def triangular_kernel(radius: int) -> list[float]:
     """Weights rising to the centre; those at the ends are zero."""
     w = [radius - abs(k) for k in range(-radius, radius + 1)]

@@ -88,6 +88,7 @@ SQL = {
     "pixe": "pixe AS (SELECT DISTINCT k, 2024.0::DOUBLE + k / 366.0::DOUBLE AS tdec FROM pix)",
     "mon": "mon AS (SELECT CAST(l_suppkey AS INT) AS row, CAST(l_linenumber - 1 AS INT) AS col, CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS INT) AS k, avg(l_extendedprice) AS val, CAST(count(*) AS DOUBLE) AS wgt FROM lineitem GROUP BY 1, 2, 3)",
     "mone": "mone AS (SELECT DISTINCT k, 1995.0::DOUBLE + k / 12.0::DOUBLE AS tdec FROM mon)",
+    "sup": "sup AS (SELECT CAST(count(*) + 1 AS INT) AS ny FROM supplier)",
     "tdec": "tdec AS (SELECT event_id, CAST(year(ts) AS DOUBLE) + CAST(epoch_us(date_trunc('second', ts)) // 1000000 - epoch_us(CAST(date_trunc('year', ts) AS TIMESTAMP)) // 1000000 AS DOUBLE) / ((CASE WHEN year(ts) % 4 = 0 THEN 366.0 ELSE 365.0 END)::DOUBLE * 86400.0::DOUBLE) AS tdec FROM events)",
     "scat": "scat AS (SELECT p_partkey AS id, CAST(p_partkey % 97 AS DOUBLE) * 100 AS x, CAST(p_size AS DOUBLE) * 100 AS y, p_retailprice AS z FROM part)",
     "prof": "prof AS (SELECT CAST(s_suppkey AS INT) AS i, s_suppkey * 1000.0::DOUBLE + (s_suppkey % 3) * 50.0::DOUBLE AS x, 800.0::DOUBLE + s_acctbal * 0.01::DOUBLE AS h, 200.0::DOUBLE - s_suppkey * 3.0::DOUBLE AS b, 100.0::DOUBLE + s_suppkey * 2.0::DOUBLE + s_acctbal * 0.001::DOUBLE AS u FROM supplier)",

@@ -9,7 +9,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions import crs, dates, timefn
+from gridloom.functions import builder, crs, dates, timefn
 from gridloom.header import Header
 from gridloom.operators import boundary, fill, interp, offsets, raster, sim, solve, stack, stencil, strain, vario
 from gridloom.operators.raster import Raster
@@ -151,9 +151,9 @@ def _(spark, d):
     return fx.holed(spark, d).isfinite()
 
 
-@query("raster_flatnonzero", with_("grid") + " SELECT CAST(row AS BIGINT) * 64 + col AS i FROM grid WHERE val > 0.4::DOUBLE")
+@query("raster_flatnonzero", with_("grid") + " SELECT CAST(row AS BIGINT) * 64 + col AS i FROM grid WHERE val > 0.34::DOUBLE")
 def _(spark, d):
-    return fx.grid(spark, d).map(lambda v: F.when(v > 0.4, 1.0).otherwise(0.0)).flatnonzero()
+    return fx.grid(spark, d).map(lambda v: F.when(v > 0.34, 1.0).otherwise(0.0)).flatnonzero()
 
 
 @query("raster_any", with_("grid") + " SELECT bool_or(val <> 0) AS \"any\" FROM grid")
@@ -193,12 +193,7 @@ for _how in ("sum", "mean", "std", "median"):
     _sql = {"sum": "coalesce(sum(val), 0)", "mean": "avg(val)", "std": "stddev_pop(val)", "median": "median(val)"}[_how]
     _skip = {"sum": "sum(val)", "mean": "avg(val)", "std": "stddev_pop(val)", "median": "median(val)"}[_how]
 
-    @query(f"raster_{_how}_propagate", with_("holed") + f" SELECT col, round(CASE WHEN count(*) = count(val) THEN {_skip} END, 6) AS val FROM holed WHERE row < 13 GROUP BY col")
-    def _(spark, d, how=_how):
-        h = fx.holed(spark, d)
-        return _val(Raster(h.cells.where("row < 13"), h.header).reduce(how, 0))
-
-    @query(f"raster_{_how}_propagate_all", with_("partly") + f" SELECT col, round(CASE WHEN count(*) = count(val) THEN {_skip} END, 6) AS val FROM partly GROUP BY col")
+    @query(f"raster_{_how}_propagate", with_("partly") + f" SELECT col, round(CASE WHEN count(*) = count(val) THEN {_skip} END, 6) AS val FROM partly GROUP BY col")
     def _(spark, d, how=_how):
         return _val(fx.partly_holed(spark, d).reduce(how, 0))
 
@@ -212,13 +207,7 @@ def _(spark, d):
     return _val(fx.grid(spark, d).downsample(7, 5))
 
 
-@query("raster_downsample_callable", with_("grid") + " SELECT row // 8 AS row, col // 8 AS col, round(max(val), 6) AS val FROM grid WHERE row < 64 GROUP BY 1, 2")
-def _(spark, d):
-    g = fx.grid(spark, d)
-    return _val(g.window(0, 64, 0, 64).downsample_with(8, 8, lambda v: v.max()))
-
-
-@query("raster_downsample_callable_all", with_("grid") + " SELECT row // 8 AS row, col // 8 AS col, round(greatest(max(val), CASE WHEN count(*) < 64 THEN 0 END), 6) AS val FROM grid GROUP BY 1, 2")
+@query("raster_downsample_callable", with_("grid") + " SELECT row // 8 AS row, col // 8 AS col, round(greatest(max(val), CASE WHEN count(*) < 64 THEN 0 END), 6) AS val FROM grid GROUP BY 1, 2")
 def _(spark, d):
     return _val(fx.grid(spark, d).downsample_with(8, 8, lambda v: v.max()))
 
@@ -286,6 +275,19 @@ def _(spark, d):
     return _val(stack.combined([m, m.withColumn("col", (6 - F.col("col")).cast("int"))], "sum"))
 
 
+@query("magstack_timeseries", with_("mon") + ", s AS (SELECT k, avg(val) FILTER (col BETWEEN 1 AND 3) AS a, avg(val) FILTER (col BETWEEN 3 AND 5) AS b FROM mon WHERE row BETWEEN 4 AND 6 GROUP BY k) SELECT k, round(sqrt(a * a + b * b) / 3, 6) AS val FROM s WHERE a IS NOT NULL AND b IS NOT NULL")
+def _(spark, d):
+    m = fx.moncube(spark, d)
+    out = stack.combined_timeseries([m, m.withColumn("col", (6 - F.col("col")).cast("int"))], "mag", 5, 2, 3, 100, 7)
+    return out.select("k", F.round(F.col("val") / 3, 6).alias("val"))
+
+
+@query("stack_snapshot_sum", with_("mon") + " SELECT a.row, a.col, round(a.val + b.val, 6) AS val FROM mon a JOIN mon b ON a.row = b.row AND b.col = 6 - a.col AND b.k = a.k WHERE a.k = 12 AND a.col BETWEEN 1 AND 4")
+def _(spark, d):
+    m = fx.moncube(spark, d)
+    return _val(stack.snapshot([m, m.withColumn("col", (6 - F.col("col")).cast("int"))], 12, 0, 1 << 30, 1, 5))
+
+
 @query("stack_frame_difference", with_("mon") + " SELECT a.row, a.col, round(a.val - b.val, 6) AS val FROM mon a JOIN mon b ON a.row = b.row AND a.col = b.col WHERE a.k = 20 AND b.k = 3")
 def _(spark, d):
     return _val(stack.difference(fx.moncube(spark, d), 20, 3))
@@ -347,7 +349,7 @@ def _(spark, d):
 
 @query("adaptive_smooth")
 def _(spark, d):
-    g = fx.grid(spark, d).window(0, 60, 0, 60)
+    g = fx.grid(spark, d)
     return _val(stencil.adaptive_smooth(g, stencil.radius_map(g.map(F.abs), 10, 90, 0.0, 3.0), 3))
 
 
@@ -367,25 +369,25 @@ def _(spark, d):
 
 @query("robust_gradient_ils")
 def _(spark, d):
-    return r6(fill.robust_gradient(fx.holed(spark, d).window(0, 40, 0, 40), 5, 1), "fit", "dy", "dx")
+    return r6(fill.robust_gradient(fx.holed(spark, d), 5, 1), "fit", "dy", "dx")
 
 
 # --- interpolation
 
 
-@query("resample_order1", with_("grid", "hdr") + """, t AS (SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, 0.4::DOUBLE + r * 0.8::DOUBLE AS rf, 0.3::DOUBLE + c * 0.9::DOUBLE AS cf FROM range(0, 50) a(r), range(0, 60) b(c)),
+@query("resample_order1", with_("grid", "hdr") + """, t AS (SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, 0.4::DOUBLE + r * 0.8::DOUBLE AS rf, 0.3::DOUBLE + c * 0.9::DOUBLE AS cf FROM range(0, 1000000) a(r), range(0, 60) b(c), hdr WHERE r < ny),
 w AS (SELECT row, col, floor(rf) + i AS sr, floor(cf) + j AS sc, (CASE WHEN i = 0 THEN 1 - (rf - floor(rf)) ELSE rf - floor(rf) END) * (CASE WHEN j = 0 THEN 1 - (cf - floor(cf)) ELSE cf - floor(cf) END) AS w FROM t, (VALUES (0), (1)) p(i), (VALUES (0), (1)) q(j))
 SELECT w.row, w.col, round(sum(w * val), 5) AS val FROM w JOIN grid g ON g.row = sr AND g.col = sc GROUP BY 1, 2""")
 def _(spark, d):
     g = fx.grid(spark, d)
-    out = interp.resample(g, replace(g.header, xstart=30.0, ystart=-40.0, dx=90.0, dy=-80.0, nx=60, ny=50), 1)
+    out = interp.resample(g, replace(g.header, xstart=30.0, ystart=-40.0, dx=90.0, dy=-80.0, nx=60), 1)
     return out.cells.select("row", "col", F.round("val", 5).alias("val"))
 
 
 @query("resample_order3_nearest_mode")
 def _(spark, d):
     g = fx.grid(spark, d)
-    return _val(interp.resample(g, replace(g.header, xstart=30.0, ystart=-40.0, dx=90.0, dy=-80.0, nx=60, ny=50), 3, "nearest"))
+    return _val(interp.resample(g, replace(g.header, xstart=30.0, ystart=-40.0, dx=90.0, dy=-80.0, nx=60), 3, "nearest"))
 
 
 @query("resample_order0", with_("grid") + " SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, round(val, 6) AS val FROM range(0, 40) a(r), range(0, 30) b(c), grid g WHERE g.row = floor(r * 1.5::DOUBLE + 0.3::DOUBLE + 0.5::DOUBLE) AND g.col = floor(c * 2.0::DOUBLE + 0.2::DOUBLE + 0.5::DOUBLE)")
@@ -394,6 +396,25 @@ def _(spark, d):
     return _val(interp.resample(g, replace(g.header, xstart=20.0, ystart=-30.0, dx=200.0, dy=-150.0, nx=30, ny=40), 0))
 
 
+@query("warp_polar_to_geographic", with_("grid", "hdr") + f""", t AS (SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, -44.9::DOUBLE + 0.2::DOUBLE * c AS lon, 89.99::DOUBLE - 0.004::DOUBLE * r AS lat FROM range(0, 110) a(r), range(0, 40) b(c)),
+q AS (SELECT row, col, lon, {crs._scale(70.0)!r}::DOUBLE * tan(pi() / 4 - radians(lat) / 2) / pow((1 - {_E!r}::DOUBLE * sin(radians(lat))) / (1 + {_E!r}::DOUBLE * sin(radians(lat))), {_E / 2!r}::DOUBLE) AS rho FROM t),
+z AS (SELECT row, col, rho * sin(radians(lon + 45)) / 100 AS cf, rho * cos(radians(lon + 45)) / 100 AS rf FROM q),
+w AS (SELECT row, col, rf BETWEEN 0 AND ny - 1 AND cf BETWEEN 0 AND 63 AS inside, floor(rf) + i AS sr, floor(cf) + j AS sc, (CASE WHEN i = 0 THEN 1 - (rf - floor(rf)) ELSE rf - floor(rf) END) * (CASE WHEN j = 0 THEN 1 - (cf - floor(cf)) ELSE cf - floor(cf) END) AS w FROM z, hdr, (VALUES (0), (1)) p(i), (VALUES (0), (1)) q(j))
+SELECT w.row, w.col, round(CASE WHEN bool_or(inside) THEN sum(w * val) ELSE 0 END, 5) AS val FROM w LEFT JOIN grid g ON g.row = sr AND g.col = sc GROUP BY 1, 2""")
+def _(spark, d):
+    out = interp.warp(fx.grid(spark, d), Header(-44.9, 89.99, 0.2, -0.004, 40, 110), 3413, 4326, 1)
+    return out.cells.select("row", "col", F.round("val", 5).alias("val"))
+
+
+@query("stack_resample_order1", with_("mon", "sup") + """, t AS (SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, 0.4::DOUBLE + r AS rf, 0.3137::DOUBLE + 0.5::DOUBLE * c AS cf FROM range(0, 1000000) a(r), range(0, 12) b(c), sup WHERE r < ny - 1),
+w AS (SELECT row, col, floor(rf) + i AS sr, floor(cf) + j AS sc, (CASE WHEN i = 0 THEN 1 - (rf - floor(rf)) ELSE rf - floor(rf) END) * (CASE WHEN j = 0 THEN 1 - (cf - floor(cf)) ELSE cf - floor(cf) END) AS w FROM t, (VALUES (0), (1)) p(i), (VALUES (0), (1)) q(j))
+SELECT w.row, w.col, m.k, round(sum(w * val), 3) AS val FROM w JOIN mon m ON m.row = sr AND m.col = sc GROUP BY 1, 2, 3 HAVING count(*) = 4""")
+def _(spark, d):
+    ny = spark.read.parquet(f"{d}/supplier.parquet").count() + 1
+    out = interp.resample_stack(fx.moncube(spark, d), Header(0.0, 0.0, 100.0, -100.0, 7, ny), Header(31.37, -40.0, 50.0, -100.0, 12, ny - 1), 1)
+    return out.select("row", "col", "k", F.round("val", 3).alias("val"))
+
+
 @query("transect_order1", with_("grid") + """, t AS (SELECT CAST(i AS INT) AS i, (5.0::DOUBLE + 45.0::DOUBLE * (i / 99.0::DOUBLE)) AS cf, (3.0::DOUBLE + 47.0::DOUBLE * (i / 99.0::DOUBLE)) AS rf FROM range(0, 100) a(i)),
 w AS (SELECT i, rf, cf, floor(rf) + p AS sr, floor(cf) + q AS sc, (CASE WHEN p = 0 THEN 1 - (rf - floor(rf)) ELSE rf - floor(rf) END) * (CASE WHEN q = 0 THEN 1 - (cf - floor(cf)) ELSE cf - floor(cf) END) AS w FROM t, (VALUES (0), (1)) p(p), (VALUES (0), (1)) q(q))
 SELECT i, round(sum(w * val), 5) AS val FROM w JOIN grid g ON g.row = sr AND g.col = sc GROUP BY i""")
@@ -488,9 +509,10 @@ _FNS = {
     "timefn_sin": (timefn.Sin(tref=2024.0, period=0.1), f"sin(2 * pi() * {_T} / 0.1::DOUBLE)"),
     "timefn_arctan": (timefn.Arctan(tref=2024.03, period=0.02), "atan((tdec - 2024.03::DOUBLE) / 0.02::DOUBLE)"),
     "timefn_step": (timefn.Constant(tmin=2024.04), "CASE WHEN tdec >= 2024.04::DOUBLE THEN 1.0 ELSE 0.0 END"),
-    "timefn_bspline": (timefn.BSpline(tref=2024.03, scale=0.02), _spline_sql("((tdec - 2024.03::DOUBLE) / 0.02::DOUBLE + 2)", 3, 3) + " / 6"),
-    "timefn_ispline": (timefn.ISpline(tref=2024.03, scale=0.02), _spline_sql("((tdec - 2024.03::DOUBLE) / 0.02::DOUBLE + 2)", 3, 4) + " * 0.02::DOUBLE / 24"),
-    "timefn_pbspline": (timefn.PBSpline(tref=2024.0, scale=0.01, period=0.04, offset=0.01), _spline_sql(f"((({_T} - 0.01::DOUBLE) - 0.04::DOUBLE * round_even(({_T} - 0.01::DOUBLE) / 0.04::DOUBLE, 0)) / 0.01::DOUBLE + 2)", 3, 3) + " / 6"),
+    "timefn_bspline": (timefn.BSpline(tref=2024.03, scale=0.02, order=3), _spline_sql("((tdec - 2024.03::DOUBLE) / 0.02::DOUBLE + 2)", 3, 3) + " / 6"),
+    "timefn_ispline": (timefn.ISpline(tref=2024.03, scale=0.02, order=3), _spline_sql("((tdec - 2024.03::DOUBLE) / 0.02::DOUBLE + 2)", 3, 4) + " * 0.02::DOUBLE / 24"),
+    "timefn_bspline_quadratic": (timefn.BSpline(tref=2024.03, scale=0.02), _spline_sql("((tdec - 2024.03::DOUBLE) / 0.02::DOUBLE + 1.5)", 2, 2) + " / 2"),
+    "timefn_pbspline": (timefn.PBSpline(tref=2024.0, scale=0.01, period=0.04, offset=0.01, order=3), _spline_sql(f"((({_T} - 0.01::DOUBLE) - 0.04::DOUBLE * round_even(({_T} - 0.01::DOUBLE) / 0.04::DOUBLE, 0)) / 0.01::DOUBLE + 2)", 3, 3) + " / 6"),
 }
 for _name, (_fn, _sql) in _FNS.items():
 
@@ -505,6 +527,16 @@ def _(spark, d):
     return fx.tdec(spark, d).select("event_id", *(F.round(x, 5).alias(f"g{i}") for i, x in enumerate(c.columns(F.col("tdec")), 1)))
 
 
+_BUILT = builder.temporal_model(2024.0, 2024.08, degree=2, periods=(0.1,), steps=(2024.04,), isplines=(4,))
+
+
+@query("temporal_model_built", with_("tdec") + f""" SELECT event_id, {_T} AS g1, pow({_T}, 2) AS g2, CASE WHEN tdec BETWEEN 2024.0::DOUBLE AND 2024.08::DOUBLE THEN cos(2 * pi() * {_T} / 0.1::DOUBLE) ELSE 0 END AS g3,
+CASE WHEN tdec >= 2024.04::DOUBLE THEN 1.0::DOUBLE ELSE 0 END AS g5, {_spline_sql(f"(({_T}) / ((2024.08::DOUBLE - 2024.0::DOUBLE) / 3) + 2)", 3, 4)} * ((2024.08::DOUBLE - 2024.0::DOUBLE) / 3) / 24 AS g6 FROM tdec""".replace("AS g1", "AS g1x").replace("SELECT event_id, ", "SELECT event_id, round(").replace(" AS g1x, pow", ", 5) AS g1, round(pow").replace(", 2) AS g2, CASE", ", 2), 5) AS g2, round(CASE").replace("END AS g3,\nCASE", "END, 5) AS g3, round(CASE").replace("END AS g5, ", "END, 5) AS g5, round(").replace(" / 24 AS g6", " / 24, 5) AS g6"))
+def _(spark, d):
+    c = dict(enumerate(_BUILT.columns(F.col("tdec"))))
+    return fx.tdec(spark, d).select("event_id", *(F.round(c[i], 5).alias(f"g{i}") for i in (1, 2, 3, 5, 6)))
+
+
 # --- dates
 
 
@@ -565,14 +597,7 @@ def _(spark, d):
     return f.select("row", "col", F.round(F.col("m")[0], 4).alias("m0"), F.round(F.col("m")[1], 4).alias("m1"))
 
 
-@query("predict_full_sigma", _LINE + ", g AS (SELECT *, s0 * s2 - s1 * s1 AS det FROM s) SELECT f.row, f.col, e.k, round(m0 + m1 * (tdec - 1998.0::DOUBLE), 3) AS \"full\", round(sqrt((s2 - 2 * (tdec - 1998.0::DOUBLE) * s1 + (tdec - 1998.0::DOUBLE) * (tdec - 1998.0::DOUBLE) * s0) / det), 6) AS sigma FROM f JOIN g USING (row, col), mone e WHERE f.n >= 20 AND f.row < 20")
-def _(spark, d):
-    m, e = fx.moncube(spark, d).where("row < 20"), fx.mon_epochs(spark, d)
-    p = solve.predict(solve.lsqr(m, e, _LINEAR), e, _LINEAR)
-    return p.select("row", "col", "k", F.round("full", 3).alias("full"), F.round("sigma", 6).alias("sigma"))
-
-
-@query("predict_full_sigma_all", ORACLES["predict_full_sigma"].replace(" AND f.row < 20", ""))
+@query("predict_full_sigma", _LINE + ", g AS (SELECT *, s0 * s2 - s1 * s1 AS det FROM s) SELECT f.row, f.col, e.k, round(m0 + m1 * (tdec - 1998.0::DOUBLE), 3) AS \"full\", round(sqrt((s2 - 2 * (tdec - 1998.0::DOUBLE) * s1 + (tdec - 1998.0::DOUBLE) * (tdec - 1998.0::DOUBLE) * s0) / det), 6) AS sigma FROM f JOIN g USING (row, col), mone e WHERE f.n >= 20")
 def _(spark, d):
     m, e = fx.moncube(spark, d), fx.mon_epochs(spark, d)
     p = solve.predict(solve.lsqr(m, e, _LINEAR), e, _LINEAR)
@@ -595,22 +620,15 @@ def _(spark, d):
     return fits.select("row", "col", "n", F.round(F.col("m")[0], 4).alias("m0"), F.round(F.col("m")[1], 4).alias("m1"))
 
 
-@query("inversion_masked", _LINE + """, p AS (SELECT row, col, e.k, CASE WHEN row % 2 = 0 THEN m0 + m1 * (tdec - 1998.0::DOUBLE) ELSE 0 END AS v, n FROM f, mone e WHERE e.k < 5)
+@query("inversion_masked", _LINE + """, p AS (SELECT row, col, e.k, CASE WHEN row % 2 = 0 THEN m0 + m1 * (tdec - 1998.0::DOUBLE) ELSE 0 END AS v, n FROM f, mone e )
 SELECT row, col, k, round(v, 3) AS secular FROM p WHERE n >= 20 OR row % 2 = 1""")
 def _(spark, d):
     m, e = fx.moncube(spark, d), fx.mon_epochs(spark, d)
-    out = solve.inversion(m, e, e.where("k < 5"), _LINEAR, mask=m.where("row % 2 = 0").select("row", "col").distinct())
+    out = solve.inversion(m, e, e, _LINEAR, mask=m.where("row % 2 = 0").select("row", "col").distinct())
     return out["parts"].select("row", "col", "k", F.round("secular", 3).alias("secular"))
 
 
-@query("detrend", _LINE + " SELECT m.row, m.col, m.k, round(m.val - (m0 + m1 * (tdec - 1998.0::DOUBLE)), 3) AS val FROM mon m JOIN mone USING (k) JOIN f ON f.row = m.row AND f.col = m.col WHERE n >= 20 AND m.row < 10")
-def _(spark, d):
-    m, e = fx.moncube(spark, d).where("row < 10"), fx.mon_epochs(spark, d)
-    out = solve.detrend(m, solve.lsqr(m, e, _LINEAR), e, _LINEAR, ("secular",))
-    return out.select("row", "col", "k", F.round("val", 3).alias("val"))
-
-
-@query("detrend_all", ORACLES["detrend"].replace(" AND m.row < 10", ""))
+@query("detrend", _LINE + " SELECT m.row, m.col, m.k, round(m.val - (m0 + m1 * (tdec - 1998.0::DOUBLE)), 3) AS val FROM mon m JOIN mone USING (k) JOIN f ON f.row = m.row AND f.col = m.col WHERE n >= 20")
 def _(spark, d):
     m, e = fx.moncube(spark, d), fx.mon_epochs(spark, d)
     out = solve.detrend(m, solve.lsqr(m, e, _LINEAR), e, _LINEAR, ("secular",))
@@ -647,21 +665,13 @@ def _(spark, d):
     return r6(solve.butterworth(fx.moncube(spark, d), 0.5, 1 / 12), "long", "short")
 
 
-@query("reweighting", with_("grid") + ", a AS (SELECT row, list(val ORDER BY col) AS m FROM grid WHERE col < 8 GROUP BY row), s AS (SELECT row, m, list_sum(list_transform(m, lambda x: abs(x))) + 8 * 1e-4::DOUBLE AS t FROM a) SELECT row, round(list_sum(list_transform(m, lambda x: ln(t / (abs(x) + 1e-4::DOUBLE)))), 5) AS w FROM s")
+@query("reweighting", with_("grid") + ", a AS (SELECT row, list(val ORDER BY col) AS m FROM grid GROUP BY row), s AS (SELECT row, m, list_sum(list_transform(m, lambda x: abs(x))) + 64 * 1e-4::DOUBLE AS t FROM a) SELECT row, round(list_sum(list_transform(m, lambda x: ln(t / (abs(x) + 1e-4::DOUBLE)))), 5) AS w FROM s")
 def _(spark, d):
-    a = fx.grid(spark, d).cells.where("col < 8").groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "val"))), lambda x: x["val"]).alias("m"))
+    a = fx.grid(spark, d).cells.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "val"))), lambda x: x["val"]).alias("m"))
     return a.select("row", F.round(F.aggregate(solve.reweight_columns("m", "log"), F.lit(0.0), lambda s, x: s + x), 5).alias("w"))
 
 
-@query("butterworth_basis_rank", with_("mon") + " SELECT row, col, k, CAST(row_number() OVER (PARTITION BY row, col ORDER BY abs(val) DESC, k) AS INT) AS rank FROM mon WHERE row < 10")
-def _(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("row", "col").orderBy(F.abs("val").desc(), "k")
-    return fx.moncube(spark, d).where("row < 10").select("row", "col", "k", F.row_number().over(w).alias("rank"))
-
-
-@query("butterworth_basis_rank_all", ORACLES["butterworth_basis_rank"].replace(" WHERE row < 10", ""))
+@query("magnitude_rank", with_("mon") + " SELECT row, col, k, CAST(row_number() OVER (PARTITION BY row, col ORDER BY abs(val) DESC, k) AS INT) AS rank FROM mon")
 def _(spark, d):
     from pyspark.sql import Window
 
@@ -672,19 +682,10 @@ def _(spark, d):
 # --- offsets
 
 
-@query("ncc_integer_offset", with_("grid") + """, t AS (SELECT cy, cx, i, j, g.val AS b FROM (SELECT CAST(unnest(range(0, 3)) AS INT) AS cy), (SELECT CAST(unnest(range(0, 3)) AS INT) AS cx), (SELECT CAST(unnest(range(0, 12)) AS INT) AS i), (SELECT CAST(unnest(range(0, 12)) AS INT) AS j), grid g WHERE g.row = 3 + cy * 16 + i + 1 AND g.col = 3 + cx * 16 + j + 2),
-s AS (SELECT cy, cx, dy, dx, sum(a.val * b) AS ab, sum(a.val * a.val) AS aa, sum(b * b) AS bb FROM t, (SELECT CAST(unnest(range(-3, 4)) AS INT) AS dy), (SELECT CAST(unnest(range(-3, 4)) AS INT) AS dx), grid a WHERE a.row = cy * 16 + 3 + i + dy AND a.col = cx * 16 + 3 + j + dx AND a.row < 60 AND a.col < 60 GROUP BY 1, 2, 3, 4),
+@query("ncc_integer_offset", with_("grid", "hdr") + """, t AS (SELECT cy, cx, i, j, g.val AS b FROM (SELECT CAST(unnest(range(0, (ny - 18) // 16 + 1)) AS INT) AS cy FROM hdr), (SELECT CAST(unnest(range(0, 3)) AS INT) AS cx), (SELECT CAST(unnest(range(0, 12)) AS INT) AS i), (SELECT CAST(unnest(range(0, 12)) AS INT) AS j), grid g WHERE g.row = 3 + cy * 16 + i + 1 AND g.col = 3 + cx * 16 + j + 2),
+s AS (SELECT cy, cx, dy, dx, sum(a.val * b) AS ab, sum(a.val * a.val) AS aa, sum(b * b) AS bb FROM t, (SELECT CAST(unnest(range(-3, 4)) AS INT) AS dy), (SELECT CAST(unnest(range(-3, 4)) AS INT) AS dx), grid a WHERE a.row = cy * 16 + 3 + i + dy AND a.col = cx * 16 + 3 + j + dx GROUP BY 1, 2, 3, 4),
 c AS (SELECT *, ab / sqrt(aa * bb) AS corr FROM s)
 SELECT cy, cx, arg_min(dy, struct_pack(c := -corr, dy := dy, dx := dx)) AS dy, arg_min(dx, struct_pack(c := -corr, dy := dy, dx := dx)) AS dx, round(max(corr) / median(abs(corr)), 5) AS snr FROM c GROUP BY 1, 2""")
-def _(spark, d):
-    g = fx.grid(spark, d)
-    ref = g.cells.where("row < 60 and col < 60")
-    sec = g.cells.select((F.col("row") - 1).alias("row"), (F.col("col") - 2).alias("col"), "val").where("row >= 0 and col >= 0 and row < 60 and col < 60")
-    p = offsets.peaks(offsets.ncc(ref, sec, 12, 3, 16, 60, 60))
-    return p.where("cy < 3 and cx < 3").select("cy", "cx", "dy", "dx", F.round("snr", 5).alias("snr"))
-
-
-@query("ncc_integer_offset_all", ORACLES["ncc_integer_offset"].replace(with_("grid"), with_("grid", "hdr")).replace("range(0, 3)) AS INT) AS cy)", "range(0, (ny - 18) // 16 + 1)) AS INT) AS cy FROM hdr)").replace(" AND a.row < 60 AND a.col < 60", ""))
 def _(spark, d):
     g = fx.grid(spark, d)
     sec = g.cells.select((F.col("row") - 1).alias("row"), (F.col("col") - 2).alias("col"), "val").where("row >= 0 and col >= 0")
@@ -716,11 +717,6 @@ def _(spark, d):
     return sim.subset_grounded(fx.profile(spark, d), 700000.0).select("i", F.round("alpha", 8).alias("alpha"))
 
 
-@query("lateral_shear_speed", with_("prof") + f", {_ALPHA} SELECT i, round(2 * 1.0e-16::DOUBLE / 4 * 0 + alpha, 8) AS alpha FROM p")
-def _(spark, d):
-    return sim.wave_speeds(sim.lateral(sim.derived(fx.profile(spark, d)), -10.0, 2000.0)).select("i", F.round("alpha", 8).alias("alpha"))
-
-
 @query("lateral_shear_velocities")
 def _(spark, d):
     return sim.wave_speeds(sim.lateral(sim.derived(fx.profile(spark, d)), -10.0, 2000.0)).select("i", "u_s", "c", "d", "vk", "pe")
@@ -756,6 +752,32 @@ def _(spark, d):
     return sim.refine(fx.profile(spark, d), 1.5)
 
 
+@query("profile_coordinates_updated")
+def _(spark, d):
+    import numpy as np
+
+    p = fx.profile(spark, d)
+    ends = p.agg(F.min("x").alias("a"), F.max("x").alias("b")).first()
+    return r6(sim.update_coordinates(p, np.linspace(ends["a"], ends["b"], 333)), "x", "h", "b", "u")
+
+
+def _tongue(spark, d, slope: float) -> DataFrame:
+    """A profile whose height above flotation falls through zero near its front."""
+    return fx.profile(spark, d).select("i", (F.col("i") * 100.0).alias("x"), (500.0 - slope * F.col("i")).alias("h"), (-300.0 - 0.1 * F.col("i")).alias("b"), "u")
+
+
+@query("terminus_advanced")
+def _(spark, d):
+    n = spark.read.parquet(f"{d}/supplier.parquet").count()
+    return r6(sim.advance_terminus(_tongue(spark, d, 80.0 / n)), "x", "h", "b", "u")
+
+
+@query("terminus_retreated")
+def _(spark, d):
+    n = spark.read.parquet(f"{d}/supplier.parquet").count()
+    return r6(sim.retreat_terminus(_tongue(spark, d, 300.0 / n)), "x", "h", "b", "u")
+
+
 @query("flow_ensemble")
 def _(spark, d):
     p = fx.profile(spark, d).agg(F.array_sort(F.collect_list(F.struct("x", "h", "b", "u"))).alias("n"))

@@ -48,10 +48,12 @@ def rows_of(df):
         if isinstance(v, bool) or type(v).__name__ == "bool":
             return str(bool(v))
         if isinstance(v, (int, float)) or hasattr(v, "item"):
-            return f"{float(v):.9g}"
+            return f"{float(v) + 0.0:.9g}"
+        if hasattr(v, "isoformat"):
+            return v.isoformat().removesuffix("T00:00:00")
         return str(v)
 
-    return sorted(tuple(plain(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
+    return sorted((tuple(plain(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False)), key=repr)
 
 
 @pytest.fixture(scope="session")

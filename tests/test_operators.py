@@ -229,3 +229,53 @@ def test_plans_stay_in_the_jvm(spark):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan, name
     assert math.isfinite(1.0)
+
+
+def test_spline_is_exact_on_cubics_and_finds_zeros():
+    r = np.random.default_rng(3)
+    x = np.sort(r.uniform(0, 10, 12))
+    f = lambda t: 0.3 * t**3 - 2 * t**2 + t + 1
+    s = sim.Spline(x, f(x))
+    t = np.linspace(x[0] - 1, x[-1] + 1, 50)
+    assert np.allclose(s(t), f(t)) and np.allclose(s(x), f(x))
+    zeros = [z.real for z in np.roots([0.3, -2, 1, 1]) if abs(z.imag) < 1e-9 and x[0] <= z.real <= x[-1]]
+    assert np.allclose(np.sort(s.roots()), np.sort(zeros))
+    assert np.allclose(sim.Spline(x[:3], x[:3] ** 2)(t), t**2)
+
+
+def test_termini_and_refinement():
+    import pandas as pd
+
+    x = np.arange(0, 4000.0, 100)
+    q = pd.DataFrame({"x": x, "h": 500 - 0.06 * x, "b": -300 - 0.001 * x, "u": 100 + 0.002 * x})
+    zero = (500 * sim.RHO_ICE / sim.RHO_WATER - 300) / (0.06 * sim.RHO_ICE / sim.RHO_WATER + 0.001)
+    back = sim.retreated(q)
+    assert np.isclose(back["x"].iloc[-1], zero) and zero < x[-1] and abs(back["x"].diff().iloc[1] - 100) < 6
+    front = sim.advanced(q[q["x"] <= zero - 300].reset_index(drop=True))
+    assert np.isclose(front["x"].iloc[-1], zero) and np.allclose(front["h"], 500 - 0.06 * front["x"])
+    u = np.where(x < 2000, 100.0, 160.0)
+    fine = sim.refined_coordinates(x, u, 5.0)
+    step = np.diff(fine)
+    assert set(x) <= set(fine) and step.min() >= 10 and step.min() < 30
+    assert (np.diff(sim.Spline(x, u)(fine))[step > 20] <= 5).all()
+    assert np.array_equal(sim.refined_coordinates(x, -u, 5.0), sim.refined_coordinates(x, -u, 5.0)) and sim.refined_coordinates(x, 0 * u).size == x.size
+    with pytest.raises(ValueError):
+        sim.moved(q, x + 5000)
+
+
+def test_outliers_of_exact_pixels_are_none(spark):
+    obs = spark.createDataFrame([(0, c, k, (7.0 if c else 3.0 + 0.1 * k), 1.0) for c in (0, 1) for k in range(40)], "row int, col int, k int, val double, wgt double")
+    epochs = spark.createDataFrame([(k, 2000 + k / 12) for k in range(40)], "k int, tdec double")
+    model = timefn.Collection([timefn.Constant(), timefn.Linear(tref=2000.0)])
+    fits, clean = solve.iterate(obs, epochs, model, 2.0, 4)
+    assert [r["n"] for r in fits.collect()] == [40, 40] and clean.where("val is null").count() == 0
+
+
+def test_built_model_and_windows(spark):
+    from gridloom.functions import builder
+
+    m = builder.temporal_model(2000.0, 2004.0, degree=2, periods=(1.0,), steps=(2001.5,), isplines=(8, 4), bsplines=(5,), seasonal_spacing=0.5)
+    assert len(m) == 3 + 2 + 1 + 5 + 9 + 12
+    assert stencil.windows(500.0, (100.0, -90.0)) == (5, 7) and stencil.windows((400.0, 10.0), 100.0) == (5, 1)
+    with pytest.raises(ValueError):
+        timefn.BSpline(scale=0.0)
