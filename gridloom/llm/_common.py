@@ -52,6 +52,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: Bits of the map that tells which rows may meet a key: 512 rows of 4 kB, whatever the data.
+MAP_BITS = 1 << 24
+
+
+def may_meet(rows: DataFrame, wanted: DataFrame, key: str, out: str) -> DataFrame:
+    """rows with a boolean column out: false where no row of wanted has their key, so they need not be
+    shuffled to find out. A bit map of hashed keys is broadcast; its size is fixed. Once most bits are
+    set it spares little, but never loses a row."""
+    place = (F.pmod(F.xxhash64(F.col(key)), F.lit(MAP_BITS)) + 1).cast("bigint")
+    bucket, at = unused(rows, "map_bucket", "map_at")
+    bits, held = unused(rows, "map_bits", "map_held")
+    maps = wanted.select(F.bitmap_bucket_number(place).alias(bucket), F.bitmap_bit_position(place).alias(at)).groupBy(bucket).agg(F.bitmap_construct_agg(at).alias(bits))
+    shown = rows.columns
+    met = rows.withColumns({bucket: F.bitmap_bucket_number(place), at: F.bitmap_bit_position(place)}).join(F.broadcast(maps), bucket, "left")
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.col(at) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    one = byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), (F.col(at) % 8).cast("int") + 1)) != 0
+    return met.select(*(f"`{c}`" for c in shown), F.coalesce(one, F.lit(False)).alias(out))
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as make it differ from all columns of df."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import WORD, stored, table, unused
+from gridloom.llm._common import WORD, may_meet, stored, table, unused
 from gridloom.llm._units import slices
 from gridloom.llm.components import connected_components
 
@@ -234,8 +234,10 @@ def shared_windows(docs: DataFrame, seeds: DataFrame, lines: DataFrame) -> DataF
     are left out: such a line has a seed within reach of each of its windows in its first copy as well,
     so that copy has them all, under a lesser id."""
     wanted = seeds.join(_copied(seeds).select("key"), "key").groupBy("doc_id").agg(F.collect_set("key").alias("seeds"))
+    wanted = stored(wanted, "wanted")
     known = lines.where(F.col("n") >= 2 * WINDOW).groupBy("doc_id").agg(F.collect_set("key").alias("lines"))
-    around = docs.join(wanted.join(known, "doc_id", "left"), "doc_id").select("doc_id", "text", "seeds", F.coalesce("lines", F.expr("cast(array() as array<bigint>)")).alias("lines"))
+    may = may_meet(docs, wanted, "doc_id", "may").where("may").drop("may")
+    around = may.join(wanted.join(known, "doc_id", "left"), "doc_id").select("doc_id", "text", "seeds", F.coalesce("lines", F.expr("cast(array() as array<bigint>)")).alias("lines"))
     windows = stored(around.mapInArrow(_around, "key bigint, doc_id bigint, first int"), "windows")
     met = windows.join(_copied(windows), "key").where("doc_id <> copy_of")
     # the starts of a run grow with their rank
@@ -315,8 +317,9 @@ def near_lines(docs: DataFrame, bands: DataFrame) -> DataFrame:
     members = stored(bands.join(met, "key").groupBy("key", "class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("words")), "members")
     # bands that hold the same lines are one bucket
     groups = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.expr("sum(cast(xxhash64(class) as decimal(38,0)))").alias("h")).groupBy("n", "h").agg(F.min("key").alias("key"), F.max("words").alias("all_words"))
-    wanted = members.groupBy("class").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("class").alias("classes"))
-    sets = docs.join(wanted, "doc_id").select("text", "classes").mapInArrow(_shingle_sets, "class bigint, shingles array<bigint>").dropDuplicates(["class"])
+    wanted = stored(members.groupBy("class").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("class").alias("classes")), "wanted")
+    may = may_meet(docs, wanted, "doc_id", "may").where("may").drop("may")
+    sets = may.join(wanted, "doc_id").select("text", "classes").mapInArrow(_shingle_sets, "class bigint, shingles array<bigint>").dropDuplicates(["class"])
     blocks = F.greatest(F.ceil(F.col("n") / BUCKET), F.ceil(F.col("all_words") / BUCKET_WORDS)).cast("int")
     parted = members.join(groups, "key").select("key", "class", blocks.alias("k"), F.pmod(F.xxhash64("class"), blocks).cast("int").alias("c"))
     tasks = parted.select("class", "c", "key", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
@@ -388,10 +391,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def stage_substring(spark: SparkSession, docs: DataFrame, sf_dir: str, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without their repeated passages; those left without a word go."""
-    cut_id, cut_spans = unused(docs, "cut_id", "cut_spans")
-    spans = repeats(docs, min_words).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias(cut_spans)).withColumnRenamed("doc_id", cut_id)
+    cut_id, cut_spans, may = unused(docs, "cut_id", "cut_spans", "may_meet")
+    spans = stored(repeats(docs, min_words).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias(cut_spans)), "cuts")
     others = [c for c in docs.columns if c != "text"]
-    met = docs.join(spans, F.col("doc_id") == F.col(cut_id), "left").select("text", cut_spans, *(f"`{c}`" for c in others))
-    schema = docs.select("text", *(f"`{c}`" for c in others)).schema
-    done = met.mapInArrow(_cut, schema).where(F.col("text").rlike(WORD)).withColumn("n_chars", F.length("text").cast("bigint"))
+    marked = may_meet(docs, spans, "doc_id", may)
+    met = marked.where(may).join(spans.withColumnRenamed("doc_id", cut_id), F.col("doc_id") == F.col(cut_id), "left").select("text", cut_spans, *(f"`{c}`" for c in others))
+    whole = docs.select("text", *(f"`{c}`" for c in others))
+    rest = marked.where(~F.col(may)).select(*(f"`{c}`" for c in whole.columns))
+    done = met.mapInArrow(_cut, whole.schema).unionByName(rest).where(F.col("text").rlike(WORD)).withColumn("n_chars", F.length("text").cast("bigint"))
     return done.select(*(f"`{c}`" for c in docs.columns))

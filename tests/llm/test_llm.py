@@ -177,6 +177,16 @@ def test_mix_takes_whole_budgets(spark):
     assert ((got["taken_tokens"] < got["n_tokens"]).sum()) <= 1
 
 
+def test_the_map_of_keys_loses_no_row(spark):
+    from gridloom.llm._common import may_meet
+
+    rows = spark.range(-2000, 2000).toDF("doc_id").unionByName(spark.createDataFrame([(None,)], "doc_id bigint"))
+    wanted = rows.where("doc_id % 7 = 0")
+    got = {r["doc_id"]: r["may"] for r in may_meet(rows, wanted, "doc_id", "may").collect()}
+    assert len(got) == 4001 and all(got[i] for i in range(-2000, 2000) if i % 7 == 0) and sum(got.values()) < 600
+    assert may_meet(rows, wanted.limit(0), "doc_id", "may").where("may").count() == 0
+
+
 def test_many_leaves_are_salted(spark, monkeypatch):
     docs = docs_of(spark, [" ".join(["w"] * (1 + i % 7)) for i in range(300)]).withColumn("source", F.concat(F.lit("src"), (F.col("doc_id") % 9).cast("string")))
     plain = sorted(map(tuple, mixing.chosen(docs).collect()))
@@ -297,6 +307,25 @@ def test_only_runs_of_fifty_words_are_passages(spark):
     assert {x["doc_id"] for x in paragraphs.repeats(docs).collect()} == {2}
 
 
+def test_op4_query_covers_every_repeat_of_fifty_words(spark):
+    rows = sorted((r["doc_id"], (r["text"] or "").encode().lower().split()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    first, want = {}, {}
+    for i, words in rows:
+        for k in range(len(words) - 49):
+            if first.setdefault(tuple(words[k : k + 50]), i) != i:
+                want.setdefault(i, set()).update(range(k, k + 50))
+    got: dict = {}
+    for r in queries.QUERIES["op4_substring"](spark, SF).collect():
+        for s in r["spans"]:
+            got.setdefault(r["doc_id"], set()).update(range(s["first"], s["first"] + s["n"]))
+    assert want and all(want[i] <= got.get(i, set()) for i in want)
+    texts = dict(rows)
+    for i, at in got.items():  # and what is reported is long enough
+        at = sorted(at)
+        runs = np.split(np.array(at), np.flatnonzero(np.diff(at) > 1) + 1)
+        assert min(map(len, runs)) >= 50 and at[-1] < len(texts[i])
+
+
 def test_line_links_against_all_pairs():
     r = np.random.default_rng(7)
     base = [np.unique(r.integers(0, 10**6, 100)) for _ in range(5)]
