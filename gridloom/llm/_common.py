@@ -14,7 +14,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+#: Rows of an Arrow batch sent to a Python worker: texts of some kilobytes make batches of a few megabytes.
+BATCH_ROWS = "1000"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Where the session has Spark's default of 10,000 rows a batch, a smaller one is set: with long texts
+    the default's buffers, held in the JVM and in the worker at once, take hundreds of megabytes a task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import WORD, may_meet, stored, table, unused
+from gridloom.llm._common import WORD, bounded_batches, may_meet, stored, table, unused
 from gridloom.llm._units import slices
 from gridloom.llm.components import connected_components
 
@@ -391,6 +391,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def stage_substring(spark: SparkSession, docs: DataFrame, sf_dir: str, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without their repeated passages; those left without a word go."""
+    bounded_batches(spark)
     cut_id, cut_spans, may = unused(docs, "cut_id", "cut_spans", "may_meet")
     spans = stored(repeats(docs, min_words).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias(cut_spans)), "cuts")
     others = [c for c in docs.columns if c != "text"]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm._common import stored, table, unused
+from gridloom.llm._common import bounded_batches, stored, table, unused
 from gridloom.llm.components import connected_components
 
 DISTANCE = 3
@@ -195,6 +195,7 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     each component keeps of its own the one of least fingerprint, text and other columns; rows without
     an id can't be told apart and stay. The keys that stay are joined back to the texts; rows of
     repeated ids alone are fingerprinted again."""
+    bounded_batches(spark)
     found = stored(components(docs).where("id is not null").select(F.col("id").alias("doc_id"), "fp", "component", (F.col("id") == F.col("component_id")).alias("least")), "found")
     keep = stored(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("least").select("doc_id", "n"), "keep")
     kept = docs.join(keep.where("n = 1"), "doc_id", "left_semi").select(*(f"`{c}`" for c in docs.columns))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm._common import table
+from gridloom.llm._common import bounded_batches, table
 from gridloom.llm._units import encoded, gather, slices, spread, totals
 
 MARK = "▁"
@@ -383,4 +383,5 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with piece ids in place of the text."""
+    bounded_batches(spark)
     return encode(docs, model_path()).withColumn("n_pieces", F.size("ids").cast("bigint"))
