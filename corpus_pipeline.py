@@ -18,7 +18,8 @@ STAGES = [
     ("mixing sources to target weights", stage_mixing),
     ("SentencePiece encoding and decoding", stage_encode),
 ]
-#: SimHash and the Viterbi paths can't be put in SQL; tests hold run() against a brute-force version.
+#: SimHash and the Viterbi paths can't be put in SQL. Tests hold the SimHash stage against all pairs, op4 against all
+#: runs of 50 words, and run() against these: survivors, no repeated run of 50 words, texts given back by decoding.
 ORACLE_SQL = None
 
 
