@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm._common import bounded_batches, stored, table, unused
+from gridloom.llm._common import bounded_batches, may_meet, stored, table, unused
 from gridloom.llm.components import connected_components
 
 DISTANCE = 3
@@ -193,18 +193,24 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component: the one with the least id. Where rows with that id differ,
     each component keeps of its own the one of least fingerprint, text and other columns; rows without
-    an id can't be told apart and stay. The keys that stay are joined back to the texts; rows of
+    an id can't be told apart and stay. Texts whose id meets none that is dropped or repeated by a bit
+    map of fixed size stay without a shuffle; the keys that stay are joined back to the others. Rows of
     repeated ids alone are fingerprinted again."""
     bounded_batches(spark)
     found = stored(components(docs).where("id is not null").select(F.col("id").alias("doc_id"), "fp", "component", (F.col("id") == F.col("component_id")).alias("least")), "found")
-    keep = stored(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("least").select("doc_id", "n"), "keep")
-    kept = docs.join(keep.where("n = 1"), "doc_id", "left_semi").select(*(f"`{c}`" for c in docs.columns))
-    out = kept.unionByName(docs.where("doc_id is null"))
+    ids = stored(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("least").alias("least")), "ids")
+    keep = ids.where("least").select("doc_id", "n")
+    (may,) = unused(docs, "near_may")
+    marked = may_meet(docs, ids.where("not least or n > 1"), "doc_id", may)
+    all_columns = [f"`{c}`" for c in docs.columns]
+    rest = marked.where(F.col(may)).select(*all_columns)
+    kept = rest.join(keep.where("n = 1"), "doc_id", "left_semi").select(*all_columns)
+    out = marked.where(~F.col(may) | F.col("doc_id").isNull()).select(*all_columns).unionByName(kept)
     if keep.where("n > 1").limit(1).count() == 0:
         return out
     shown = docs.columns
     fp, of, rank = unused(docs, "near_fp", "near_of", "near_rank")
-    again = docs.join(keep.where("n > 1"), "doc_id", "left_semi").select(*(f"`{c}`" for c in shown)).distinct()
+    again = rest.join(keep.where("n > 1"), "doc_id", "left_semi").select(*(f"`{c}`" for c in shown)).distinct()
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = shown.index("text")

@@ -89,6 +89,27 @@ def test_near_dedup_keeps_every_differing_text_of_an_id(spark):
     assert got == sorted([("1", a), ("1", b), ("2", c), ("4", d), ("None", d)])
 
 
+def test_near_dedup_shuffles_few_texts_and_keeps_the_least_ids(spark, tmp_path):
+    r = random.Random(16)
+    texts = [" ".join("".join(r.choices("abcdefghijklmnop", k=8)) for _ in range(300)) for _ in range(400)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, t in enumerate(texts[:20])] + [(None, texts[30]), (None, None)]
+    path = f"{tmp_path}/docs"
+    spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in rows], SCHEMA).write.parquet(path)
+
+    def moved():  # bytes that all tasks so far wrote for a shuffle
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before, limit = moved(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted((str(x["doc_id"]), str(x["text"])) for x in simhash.stage_near_dedup(spark, spark.read.parquet(path), SF).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == sorted((str(i), str(t)) for i, t in rows if i is None or i < 400)
+    assert moved() - before < sum(len(t) for t in texts) / 4
+
+
 # --- components, SimHash
 
 
