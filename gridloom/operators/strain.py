@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +12,11 @@ from gridloom.operators.stencil import gradient
 YEAR = 365.25 * 86400.0
 
 
-def glen_rate(temp_c: Column | float, kpa: bool = False) -> Column:
-    """Rate factor A(T) per year and Pa^3 (or kPa^3), a sum of two exponentials of the absolute temperature."""
-    t = (F.lit(float(temp_c)) if isinstance(temp_c, (int, float)) else temp_c) + 273.15
-    a = 5.3e-15 * YEAR * (1.2478766e-39 * F.exp(0.32769 * t) + 1.9463011e-10 * F.exp(0.07205 * t))
+def glen_rate(temp_c: Column | float, kpa: bool = False) -> Column | float:
+    """Rate factor A(T) per year and Pa^3 (or kPa^3), a sum of two exponentials of the absolute temperature;
+    a number for a number."""
+    exp, t = (math.exp if isinstance(temp_c, (int, float)) else F.exp), temp_c + 273.15
+    a = 5.3e-15 * YEAR * (1.2478766e-39 * exp(0.32769 * t) + 1.9463011e-10 * exp(0.07205 * t))
     return a if kpa else a * 1.0e-9
 
 
@@ -45,7 +48,7 @@ def strain(v: DataFrame, dx: float = 100.0, dy: float = -100.0, rotate: bool = F
 
 def stress(s: DataFrame, a_glen: float | None = None, n: float = 3.0) -> DataFrame:
     """eta, t_xx, t_yy, t_xy from strain()."""
-    a = F.lit(float(a_glen)) if a_glen is not None else glen_rate(-10.0)
+    a = F.lit(float(a_glen if a_glen is not None else glen_rate(-10.0)))
     b = F.pow(a, F.lit(-1.0 / n))
     s = s.withColumn("eta", 0.5 * b * F.pow("effective", F.lit((1 - n) / n)))
     return s.withColumns({"t_xx": 2 * F.col("eta") * F.col("e_xx"), "t_yy": 2 * F.col("eta") * F.col("e_yy"), "t_xy": 2 * F.col("eta") * F.col("e_xy")})
