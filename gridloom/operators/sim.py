@@ -281,7 +281,7 @@ def difference_matrix(x: np.ndarray) -> np.ndarray:
 def pde(u: np.ndarray, d: np.ndarray, h: np.ndarray, alpha: np.ndarray, a: float, cb: float, fs: float, n: float = 3.0, m: float = 3.0, scale: float = 1e-2, boundary_scale: float = 1.0, nu_eps: float = 1e-8) -> np.ndarray:
     du = d @ u
     nu = a ** (-1 / n) / (np.abs(du) ** ((n - 1) / n) + nu_eps)
-    f = scale * (2 * d @ (h * nu * du) - np.sign(u) * cb * np.abs(u) ** (1 / m) + RHO_ICE * G * h * alpha)
+    f = scale * (2 * (d @ (h * nu * du)) - np.sign(u) * cb * np.abs(u) ** (1 / m) + RHO_ICE * G * h * alpha)
     return np.concatenate([f, boundary_scale * np.array([du[0], du[-1] - fs])])
 
 
@@ -294,28 +294,105 @@ def jacobian(u: np.ndarray, d: np.ndarray, h: np.ndarray, alpha: np.ndarray, a:
     return np.vstack([scale * j, boundary_scale * d[0], boundary_scale * d[-1]])
 
 
-def find_root(f, jac, u: np.ndarray, delta: float = 0.2, tol: float = 1e-5, reltol: float = 1e-10, n_iter: int = 500) -> tuple[np.ndarray, float, int]:
+def find_root(f, jac, u: np.ndarray, delta: float = 0.2, tol: float = 1e-5, reltol: float = 1e-10, n_iter: int = 500, solve=lambda j, y: np.linalg.lstsq(j, y, rcond=None)[0]) -> tuple[np.ndarray, float, int]:
     """Damped Gauss-Newton: (u, norm of the residual, steps). It ends at the tolerance, or after more than
     five steps where the residual moves by less than reltol."""
     now, k = f(u), 0
     while k < n_iter and np.linalg.norm(now) >= tol:
-        u = u - delta * np.linalg.lstsq(jac(u), now, rcond=None)[0]
+        u = u - delta * solve(jac(u), now)
         before, now, k = now, f(u), k + 1
         if k > 5 and np.linalg.norm(now - before) < reltol:
             break
     return u, float(np.linalg.norm(now)), k
 
 
+def difference_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """difference_matrix without its zeros: (first column, three coefficients) of each row."""
+    n, s = len(x), np.diff(x)
+    a, b = s[:-1], s[1:]
+    rows = np.empty((n, 3))
+    rows[1:-1] = np.column_stack([-b / (a * (a + b)), (b - a) / (a * b), a / (b * (a + b))])
+    for i, p, q, sign in ((0, s[0], s[1], 1), (n - 1, s[-1], s[-2], -1)):
+        rows[i] = np.array([-(2 * p + q) / (p * (p + q)), (p + q) / (p * q), -p / (q * (p + q))])[::sign] * sign
+    return np.clip(np.arange(n) - 1, 0, n - 3), rows
+
+
+class Differences:
+    """difference_matrix(x) for products: ``self @ v`` takes time and memory that grow as the nodes."""
+
+    def __init__(self, x: np.ndarray):
+        self.first, self.rows = difference_rows(x)
+        self.at = self.first[:, None] + np.arange(3)
+
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        return (self.rows * v[self.at]).sum(1)
+
+
+def banded_jacobian(u: np.ndarray, d: Differences, h: np.ndarray, alpha: np.ndarray, a: float, cb: float, fs: float, n: float = 3.0, m: float = 3.0, scale: float = 1e-2, boundary_scale: float = 1.0, nu_eps: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
+    """jacobian without its zeros: (first column, five values) of each row, the rows in the order of pde."""
+    du, e, size = d @ u, (n - 1) / n, len(u)
+    g = np.abs(du) ** e + nu_eps
+    slope = a ** (-1 / n) * (g - e * np.abs(du) ** e) / g**2
+    inner, base = (h * slope)[:, None] * d.rows, np.clip(np.arange(size) - 2, 0, size - 5)
+    j, i = np.zeros((size + 2, 5)), np.arange(size)
+    for k in range(3):
+        row = d.first + k
+        for c in range(3):
+            j[i, d.first[row] + c - base] += 2 * scale * d.rows[:, k] * inner[row, c]
+    j[i, i - base] -= scale * cb / m * np.abs(u) ** (1 / m - 1)
+    j[size, :3], j[size + 1, 2:] = boundary_scale * d.rows[0], boundary_scale * d.rows[-1]
+    return np.concatenate([base, [0, size - 5]]), j
+
+
+def banded_lstsq(first: np.ndarray, values: np.ndarray, y: np.ndarray, n: int, block: int = 48) -> np.ndarray:
+    """Least squares of full column rank by orthogonal steps over blocks of columns: row i has
+    values[i] from column first[i] on. Time and memory grow as n."""
+    order, width = np.argsort(first, kind="stable"), values.shape[1]
+    first, values, y = first[order], values[order], y[order]
+    if not (np.isfinite(values).all() and np.isfinite(y).all()):
+        raise np.linalg.LinAlgError("values that are not finite")
+    starts = np.arange(0, n, block)
+    cuts, done = np.searchsorted(first, [*starts, n]), []
+    carried = np.zeros((0, width))
+    for s, lo, hi in zip(starts, cuts[:-1], cuts[1:]):
+        size, wide = min(block, n - s), min(block + width - 1, n - s)
+        m = np.zeros((len(carried) + hi - lo, wide + width))
+        m[: len(carried), : carried.shape[1] - 1], m[: len(carried), wide] = carried[:, :-1], carried[:, -1]
+        r = np.arange(len(carried), len(m))
+        m[r[:, None], first[lo:hi, None] - s + np.arange(width)] = values[lo:hi]
+        m[r, wide] = y[lo:hi]
+        q = np.linalg.qr(m[:, : wide + 1], "r")
+        if len(q) < size or not np.diag(q)[:size].all():
+            raise np.linalg.LinAlgError("columns that depend on each other")
+        done.append(q[:size])
+        carried = q[size:wide, size:]
+    x = np.zeros(n + width)
+    for s, q in zip(starts[::-1], done[::-1]):
+        size = len(q)
+        x[s : s + size] = np.linalg.solve(q[:, :size], q[:, -1] - q[:, size:-1] @ x[s + size : s + q.shape[1] - 1])
+    return x[:n]
+
+
+def find_root_banded(f, jac, u: np.ndarray, **more) -> tuple[np.ndarray, float, int]:
+    """find_root with jac in the form of banded_jacobian."""
+    return find_root(f, jac, u, solve=lambda j, y: banded_lstsq(*j, y, len(u)), **more)
+
+
 def ensemble(scenarios: DataFrame, n_iter: int = 500) -> DataFrame:
-    """scenarios: id, a, cb, fs and arrays x, h, b, u0. (id, i, x, u, norm, steps): one solve a row, in parallel."""
+    """scenarios: id, a, cb, fs and arrays x, h, b, u0. (id, i, x, u, norm, steps): one solve a row, in parallel,
+    whose memory and time a step grow as the nodes."""
 
     def run(frames):
         for pdf in frames:
             for r in pdf.itertuples():
                 x, h, b, u0 = (np.asarray(getattr(r, c), float) for c in ("x", "h", "b", "u0"))
-                d = difference_matrix(x)
-                args = (d, h, -d @ (h + b), r.a, r.cb, r.fs)
-                u, norm, steps = find_root(lambda v: pde(v, *args), lambda v: jacobian(v, *args), u0, n_iter=n_iter)
+                dense = len(x) < 8 or r.cb == 0  # without drag the speed is free by a constant and the least norm decides
+                d = difference_matrix(x) if dense else Differences(x)
+                args = (d, h, -(d @ (h + b)), r.a, r.cb, r.fs)
+                find, jac = (find_root, jacobian) if dense else (find_root_banded, banded_jacobian)
+                u, norm, steps = find(lambda v: pde(v, *args), lambda v: jac(v, *args), u0, n_iter=n_iter)
                 yield pd.DataFrame({"id": r.id, "i": np.arange(len(x), dtype=np.int32), "x": x, "u": u, "norm": norm, "steps": np.int32(steps)})
 
-    return scenarios.mapInPandas(run, "id bigint, i int, x double, u double, norm double, steps int")
+    # rows made by a cross join lie in one partition; dealt in turn, every row has a task
+    dealt = scenarios.repartition(max(scenarios.sparkSession.sparkContext.defaultParallelism, 2))
+    return dealt.mapInPandas(run, "id bigint, i int, x double, u double, norm double, steps int")

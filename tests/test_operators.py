@@ -195,6 +195,32 @@ def test_sim_residual_and_jacobian(spark):
     assert np.allclose(got, sim.pde(u, *args)[:-2], rtol=1e-6)
 
 
+def test_sim_banded_steps_equal_dense_ones():
+    for n in (8, 33, 100):
+        r = np.random.default_rng(n)
+        x = np.cumsum(r.uniform(800, 1200, n))
+        h, b, u = 900 + 50 * r.standard_normal(n), -0.001 * x, 100 + 0.01 * x + r.standard_normal(n)
+        d, few = sim.difference_matrix(x), sim.Differences(x)
+        args, same = ((k, h, -(k @ (h + b)), 1e-16, 1e3, 1e-3) for k in (d, few))
+        j, y, (first, values) = sim.jacobian(u, *args), sim.pde(u, *args), sim.banded_jacobian(u, *same)
+        full = np.zeros_like(j)
+        np.put_along_axis(full, first[:, None] + np.arange(5), values, 1)
+        assert np.allclose(full, j, rtol=1e-9, atol=1e-12 * np.abs(j).max()) and np.allclose(sim.pde(u, *same), y, rtol=1e-9, atol=1e-12 * np.abs(y).max())
+        want = np.linalg.lstsq(j, y, rcond=None)[0]
+        assert np.allclose(sim.banded_lstsq(first, values, y, n), want, rtol=1e-6, atol=1e-8 * np.abs(want).max())
+
+
+def test_sim_ensemble_of_many_nodes_and_a_task_a_scenario(spark):
+    n = 4000
+    x = np.arange(n) * 1000.0
+    h, b, u = 900 - 1e-5 * x, -1e-5 * x, 100 + 1e-4 * x
+    rows = spark.createDataFrame([(x.tolist(), h.tolist(), b.tolist(), u.tolist())], "x array<double>, h array<double>, b array<double>, u0 array<double>")
+    # the dense step took 8 x n² bytes and n³ operations
+    out = sim.ensemble(rows.coalesce(1).crossJoin(spark.range(4)).selectExpr("id", "1e-16D a", "1e3D cb", "1e-3D fs", "x", "h", "b", "u0"), n_iter=3)
+    got = out.groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("id").alias("scenarios"), F.count("*").alias("n")).collect()
+    assert len(got) == 4 and all(r["scenarios"] == 1 and r["n"] == n for r in got)
+
+
 def test_dates(spark):
     ts = datetime.datetime(2023, 7, 2, 12, 0, 0)
     row = spark.createDataFrame([(ts, 59000)], "ts timestamp, mjd int").select(dates.to_decimal_year(F.col("ts")).alias("t"), dates.mjd_to_date(F.col("mjd")).alias("d")).select("t", "d", dates.from_decimal_year(F.col("t") + 1e-9).alias("back")).first()
