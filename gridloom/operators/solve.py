@@ -2,7 +2,7 @@
 
 For P basis functions the P(P+1)/2 + P sums of G'W²G and G'W²d are one map-side combined
 aggregation; what is left to solve is a P x P system per pixel, done for a whole Arrow batch by one
-NumPy call. Sparse and robust fits need the rows themselves and run per pixel in applyInPandas.
+NumPy call. Sparse and robust fits need the rows themselves: a pixel's series is packed into arrays, and batches of pixels are solved.
 """
 
 from __future__ import annotations
@@ -166,27 +166,85 @@ def omp(obs: DataFrame, epochs: DataFrame, model: Collection, n_nonzero: int = 1
     return _batched(gram(obs, design(epochs, model), p), p, solve, PIXEL, n_min)
 
 
+def series(obs: DataFrame, *values: str) -> DataFrame:
+    """(row, col, k, values...): a row a pixel, with its epochs in order and their values as arrays."""
+    packed = obs.groupBy(*PIXEL).agg(F.array_sort(F.collect_list(F.struct("k", *values))).alias("s"))
+    return packed.select(*PIXEL, *(F.col(f"s.{c}").alias(c) for c in ("k", *values)))
+
+
+def _draws(rng: np.random.Generator, n: int, size: int, trials: int) -> np.ndarray:
+    """(trials, size): what ``rng.choice(n, size, replace=False)`` gives trial by trial."""
+    return np.stack([rng.choice(n, size, replace=False) for _ in range(trials)])
+
+
+def _draws_at_once(rng: np.random.Generator, n: int, size: int, trials: int) -> np.ndarray:
+    """_draws from the raw words of PCG64: Floyd's sampling and a shuffle by Lemire's bounded integers,
+    as NumPy makes them for n up to 10,000. A rejected word leaves it to _draws."""
+    state = rng.bit_generator.state
+    if n > 10000 or state["has_uint32"]:
+        return _draws(rng, n, size, trials)
+    drawn = range(int(n == size), size)  # an integer below 1 takes no word
+    bound = np.array([*(n - size + t + 1 for t in drawn), *range(size, 1, -1)], np.uint64)
+    words = rng.bit_generator.random_raw((trials * len(bound) + 1) // 2).astype("<u8").view("<u4")[: trials * len(bound)]
+    m = words.reshape(trials, -1).astype(np.uint64) * bound
+    if ((m & np.uint64(0xFFFFFFFF)) < bound).any():
+        rng.bit_generator.state = state
+        return _draws(rng, n, size, trials)
+    words, out, every = (m >> np.uint64(32)).astype(np.int64).T, np.zeros((trials, size), np.int64), np.arange(trials)
+    for v, t in zip(words, drawn):
+        out[:, t] = np.where((out[:, :t] == v[:, None]).any(1), n - size + t, v)
+    for v, i in zip(words[len(drawn) :], range(size - 1, 0, -1)):
+        kept = out[:, i].copy()
+        out[:, i] = out[every, v]
+        out[every, v] = kept
+    return out
+
+
+def _draw() -> Callable:
+    """The quick draws where this NumPy's choice gives the same ones."""
+    for n, size in ((10, 10), (37, 10), (84, 10)):
+        a, b = (np.random.default_rng([n, size]) for _ in range(2))
+        if not np.array_equal(_draws(a, n, size, 50), _draws_at_once(b, n, size, 50)):
+            return _draws
+    return _draws_at_once
+
+
+def stacked_lstsq(x: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """(n, p) solutions for x (n, rows, p) and d (n, rows). Near-dependent columns are left to lstsq, one by one."""
+    a, b = np.swapaxes(x, 1, 2) @ x, np.einsum("nrp,nr->np", x, d)
+    scale = 1 / np.sqrt(np.maximum(np.einsum("npp->np", a), 1e-300))
+    a, good = a * scale[:, :, None] * scale[:, None, :], np.zeros(len(a), bool)
+    finite = np.isfinite(a).all((1, 2)) & np.isfinite(b).all(1)
+    good[finite] = np.linalg.eigvalsh(a[finite])[:, 0] > 1e-6
+    m = np.empty_like(b)
+    m[good] = np.linalg.solve(a[good], (b * scale)[good][:, :, None])[:, :, 0] * scale[good]
+    for i in np.flatnonzero(~good):
+        m[i] = np.linalg.lstsq(x[i], d[i], rcond=None)[0]
+    return m
+
+
 def ransac(obs: DataFrame, epochs: DataFrame, model: Collection, min_samples: int = 10, trials: int = 100, seed: int = 0, n_min: int = 20) -> DataFrame:
     """Seeded RANSAC per pixel; residual threshold: the median absolute deviation of the values."""
-    g = design(epochs, model)
+    g, p = design(epochs, model), len(model)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        x, d = np.stack(pdf["g"].to_list()), pdf["val"].to_numpy()
-        head = {"row": [pdf["row"].iloc[0]], "col": [pdf["col"].iloc[0]]}
-        if len(d) < max(n_min, min_samples):
-            return pd.DataFrame(head | {"status": [1], "n": [len(d)], "m": [None], "inliers": [0]})
-        rng, limit, best = np.random.default_rng([seed, int(pdf["row"].iloc[0]), int(pdf["col"].iloc[0])]), np.median(np.abs(d - np.median(d))), np.zeros(len(d), bool)
-        for _ in range(trials):
-            s = rng.choice(len(d), min_samples, replace=False)
-            inside = np.abs(d - x @ np.linalg.lstsq(x[s], d[s], rcond=None)[0]) <= limit
-            if inside.sum() > best.sum():
-                best = inside
-        m = np.linalg.lstsq(x[best], d[best], rcond=None)[0]
-        return pd.DataFrame(head | {"status": [0], "n": [len(d)], "m": [m], "inliers": [int(best.sum())]})
+    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        draw = _draw()
+        for pdf in frames:
+            out = []
+            for row, col, d, g in zip(pdf["row"], pdf["col"], pdf["val"], pdf["g"]):
+                if len(d) < max(n_min, min_samples):
+                    out.append((1, len(d), None, 0))
+                    continue
+                x = np.concatenate(g).reshape(-1, p)
+                s = draw(np.random.default_rng([seed, int(row), int(col)]), len(d), min_samples, trials)
+                inside = np.abs(d - stacked_lstsq(x[s], d[s]) @ x.T) <= np.median(np.abs(d - np.median(d)))
+                best = inside[inside.sum(1).argmax()]
+                out.append((0, len(d), np.linalg.lstsq(x[best], d[best], rcond=None)[0], int(best.sum())))
+            status, n, m, inliers = zip(*out) if out else ((),) * 4
+            yield pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "status": np.array(status, np.int32), "n": np.array(n, np.int64), "m": pd.Series(m, dtype=object, index=pdf.index), "inliers": np.array(inliers, np.int32)})
 
     rows = obs.where("val is not null and not isnan(val)").join(g, "k").select("row", "col", "k", "val", "g")
-    return rows.groupBy("row", "col").applyInPandas(fit, "row int, col int, status int, n bigint, m array<double>, inliers int")
+    return series(rows, "val", "g").mapInPandas(fit, "row int, col int, status int, n bigint, m array<double>, inliers int")
 
 
 SOLVERS = {"lsqr": lsqr, "ridge": ridge, "lasso": lasso, "omp": omp, "ransac": ransac}

@@ -195,6 +195,30 @@ def test_sim_residual_and_jacobian(spark):
     assert np.allclose(got, sim.pde(u, *args)[:-2], rtol=1e-6)
 
 
+def test_ransac_solves_batches_with_the_draws_of_choice(spark):
+    for n, size in ((10, 10), (20, 10), (84, 10), (600, 3)):
+        a, b = (np.random.default_rng([5, n]) for _ in range(2))
+        assert np.array_equal(solve._draws_at_once(a, n, size, 40), np.stack([b.choice(n, size, replace=False) for _ in range(40)]))
+    k, r = np.arange(40), np.random.default_rng(1)
+    d = 2.0 + 0.5 * k + r.standard_normal(40) * 0.1 + np.where(k % 7 == 0, 30.0, 0.0)
+    model = timefn.Collection([timefn.Constant(), timefn.Linear(tref=0.0)])
+    obs = spark.createDataFrame([(p, 1, int(i), float(v)) for p in (2, 3) for i, v in zip(k, d) if p == 2 or i < 12], "row int, col int, k int, val double")
+    epochs = spark.createDataFrame([(int(i), float(i)) for i in k], "k int, tdec double")
+    x, limit, best = np.column_stack([np.ones(40), k]), np.median(np.abs(d - np.median(d))), np.zeros(40, bool)
+    rng = np.random.default_rng([0, 2, 1])
+    for _ in range(100):
+        s = rng.choice(40, 10, replace=False)
+        inside = np.abs(d - x @ np.linalg.lstsq(x[s], d[s], rcond=None)[0]) <= limit
+        best = inside if inside.sum() > best.sum() else best
+    fits = solve.ransac(obs, epochs, model)
+    assert "FlatMapGroupsInPandas" not in fits._jdf.queryExecution().executedPlan().toString()
+    got = {r["row"]: r for r in fits.collect()}
+    assert np.allclose(got[2]["m"], np.linalg.lstsq(x[best], d[best], rcond=None)[0]) and (got[2]["status"], got[2]["n"], got[2]["inliers"]) == (0, 40, best.sum())
+    assert (got[3]["status"], got[3]["n"], got[3]["m"], got[3]["inliers"]) == (1, 12, None, 0)
+    same = np.stack([np.column_stack([np.ones(10), np.zeros(10)])] * 2)  # a function that is not met: the least norm
+    assert np.allclose(solve.stacked_lstsq(same, np.full((2, 10), 3.0)), [3.0, 0.0])
+
+
 def test_sim_banded_steps_equal_dense_ones():
     for n in (8, 33, 100):
         r = np.random.default_rng(n)
