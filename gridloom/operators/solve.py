@@ -355,25 +355,31 @@ def butterworth_coeffs(cutoff: float, dt: float, order: int = 2) -> tuple[np.nda
 
 
 def _filtfilt(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """x: (series, epochs), all series at once."""
     def once(v):
         out, n = np.zeros_like(v), len(b)
         for i in range(len(v)):
             out[i] = sum(b[j] * v[i - j] for j in range(min(n, i + 1))) - sum(a[j] * out[i - j] for j in range(1, min(n, i + 1)))
         return out
 
+    x = np.ascontiguousarray(x.T)
     k = min(3 * len(b) * 4, len(x) - 1)
     ext = np.concatenate([2 * x[0] - x[k:0:-1], x, 2 * x[-1] - x[-2 : -k - 2 : -1]])
-    return once(once(ext - ext[0])[::-1])[::-1][k : k + len(x)] + ext[0] * (b.sum() / a.sum()) ** 2
+    return (once(once(ext - ext[0])[::-1])[::-1][k : k + len(x)] + ext[0] * (b.sum() / a.sum()) ** 2).T
 
 
 def butterworth(obs: DataFrame, cutoff: float, dt: float, order: int = 2) -> DataFrame:
-    """(row, col, k, long, short): zero-phase low-pass per pixel over its epochs in order, and what it leaves."""
+    """(row, col, k, long, short): zero-phase low-pass per pixel over its epochs in order, and what it leaves.
+    Pixels of a batch with as many epochs are filtered together."""
     b, a = butterworth_coeffs(cutoff, dt, order)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        x = pdf["val"].to_numpy(dtype=float)
-        y = _filtfilt(b, a, x) if len(x) > 1 else x.copy()
-        return pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "k": pdf["k"], "long": y, "short": x - y})
-
-    return obs.where("val is not null").groupBy(*PIXEL).applyInPandas(run, "row int, col int, k int, long double, short double")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            size = pdf["val"].map(len)
+            for n, same in pdf.groupby(size):
+                x = np.concatenate(same["val"].to_list()).astype(float).reshape(-1, n)
+                y = _filtfilt(b, a, x) if n > 1 else x.copy()
+                rows = {c: np.repeat(same[c].to_numpy(), n) for c in PIXEL}
+                yield pd.DataFrame(rows | {"k": np.concatenate(same["k"].to_list()), "long": y.ravel(), "short": (x - y).ravel()})
+
+    return series(obs.where("val is not null"), "val").mapInPandas(run, "row int, col int, k int, long double, short double")

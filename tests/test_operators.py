@@ -219,6 +219,20 @@ def test_ransac_solves_batches_with_the_draws_of_choice(spark):
     assert np.allclose(solve.stacked_lstsq(same, np.full((2, 10), 3.0)), [3.0, 0.0])
 
 
+def test_butterworth_filters_pixels_of_a_length_together(spark):
+    lengths, r = {0: 1, 1: 2, 2: 9, 3: 60, 4: 60}, np.random.default_rng(2)
+    rows = [(p, 0, i * 2, float(r.standard_normal())) for p, n in lengths.items() for i in range(n)]
+    out = solve.butterworth(spark.createDataFrame(rows[::-1] + [(3, 0, 1, None)], "row int, col int, k int, val double"), 0.5, 1 / 12)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    got = out.toPandas().sort_values(["row", "k"])
+    b, a = solve.butterworth_coeffs(0.5, 1 / 12)
+    for p, n in lengths.items():
+        x = np.array([v for row, _, _, v in rows if row == p])
+        y = x if n == 1 else solve._filtfilt(b, a, x[None])[0]
+        q = got[got["row"] == p]
+        assert q["k"].tolist() == [2 * i for i in range(n)] and np.allclose(q["long"], y) and np.allclose(q["short"], x - y)
+
+
 def test_sim_banded_steps_equal_dense_ones():
     for n in (8, 33, 100):
         r = np.random.default_rng(n)
