@@ -1,6 +1,6 @@
 """Interpolation on grids: B-spline weights of order 0 to 3 without prefilter, by equi-joins.
 
-A target is exploded into the source cells that its weights reach, then joined by key. Without
+Source cells are packed in tiles with a margin, and a target is joined with its tile by key. Without
 prefilter the quadratic and cubic cases smooth, as the reference's do. Outside: ``constant`` gives
 ``fill`` where the target lies outside the grid, ``nearest`` clamps the indices.
 """
@@ -35,27 +35,47 @@ def _weights(t: Column, order: int) -> list[tuple[Column, Column]]:
     raise ValueError(f"order {order}")
 
 
+TILE, REACH = 16, 2  # side of a tile; cells that the weights reach beyond the tile of a target's base cell
+
+
+def _tiles(cells: DataFrame) -> DataFrame:
+    """(tile_y, tile_x, tile): the values of each tile and its margin as array[array], null where missing."""
+    side = range(TILE + 2 * REACH)
+
+    def over(c: str) -> Column:
+        return F.explode(F.sequence(F.floor((F.col(c) - REACH) / TILE), F.floor((F.col(c) + REACH) / TILE)))
+
+    at = F.col("col") - F.col("tile_x") * TILE + REACH
+    strips = cells.select("row", "col", "val", over("col").alias("tile_x")).groupBy("row", "tile_x").agg(*(F.max(F.when(at == j, F.col("val"))).alias(f"v{j}") for j in side))
+    strips = strips.select("row", "tile_x", F.array(*(f"v{j}" for j in side)).alias("strip")).withColumn("tile_y", over("row"))
+    tiles = strips.groupBy("tile_y", "tile_x").agg(F.collect_list(F.struct((F.col("row") - F.col("tile_y") * TILE + REACH).alias("i"), "strip")).alias("s"))
+    ith = lambda i: F.get(F.filter("s", lambda e: e["i"] == i), F.lit(0))["strip"]
+    return tiles.select("tile_y", "tile_x", F.array(*map(ith, side)).alias("tile"))
+
+
 def interpolate(r: Raster, targets: DataFrame, keys: list[str], order: int = 3, mode: str = "constant", fill: float = 0.0) -> DataFrame:
-    """targets: keys, x, y. Adds val. A source cell that is missing and has weight makes val missing."""
+    """targets: keys, x, y. Adds val. A source cell that is missing and has weight makes val missing.
+    A target meets the tile of its base cell, whose margin holds all cells under its weights: one row a target is shuffled."""
     h = r.header
-    at = targets.withColumn("cf", (F.col("x") - h.xstart) / h.dx).withColumn("rf", (F.col("y") - h.ystart) / h.dy)
+    at = targets.select(*keys, "x", "y").withColumn("cf", (F.col("x") - h.xstart) / h.dx).withColumn("rf", (F.col("y") - h.ystart) / h.dy)
     rule = "edge" if mode == "nearest" else "symmetric"
-    rows = F.array(*(F.struct(mapped(i, h.ny, rule).alias("row"), w.alias("w")) for i, w in _weights(F.col("rf"), order)))
-    cols = F.array(*(F.struct(mapped(i, h.nx, rule).alias("col"), w.alias("w")) for i, w in _weights(F.col("cf"), order)))
+
+    def reached(t: str, n: int, tile: str) -> Column:
+        first = F.col(tile) * TILE - REACH
+        return F.array(*(F.struct((mapped(i, n, rule) - first).cast("int").alias("i"), w.alias("w")) for i, w in _weights(F.col(t), order)))
+
+    # mapped indices of neighbours differ by one at most, so the base cell's tile and its margin hold all
+    base = {c: F.floor(mapped(F.floor(F.col(t) + (0.5 if order % 2 == 0 else 0.0)).cast("int"), n, rule) / TILE) for c, t, n in (("tile_y", "rf", h.ny), ("tile_x", "cf", h.nx))}
+    met = at.withColumns(base).join(_tiles(r.cells.select("row", "col", "val")), ["tile_y", "tile_x"], "left")
+    met = met.withColumns({"rows": reached("rf", h.ny, "tile_y"), "cols": reached("cf", h.nx, "tile_x")})
+
+    def used(a: Column, b: Column) -> Column:
+        w = a["w"] * b["w"]
+        return F.when(w != 0, w * F.get(F.get("tile", a["i"]), b["i"])).otherwise(0.0)
+
+    total = F.aggregate("rows", F.lit(0.0), lambda s, a: s + F.aggregate("cols", F.lit(0.0), lambda t, b: t + used(a, b)))
     inside = F.col("rf").between(0, h.ny - 1) & F.col("cf").between(0, h.nx - 1) if mode == "constant" else F.lit(True)
-    spread = at.withColumn("inside", inside).withColumn("a", F.explode(rows)).withColumn("b", F.explode(cols))
-    spread = spread.select(*keys, "x", "y", "inside", F.col("a.row").alias("row"), F.col("b.col").alias("col"), (F.col("a.w") * F.col("b.w")).alias("w"))
-    src = r.cells.select("row", "col", "val")
-    if {"row", "col"} & set(keys):
-        names = {"row": "src_row", "col": "src_col"}
-        spread = at.withColumn("inside", inside).withColumn("a", F.explode(rows)).withColumn("b", F.explode(cols)).select(*keys, "x", "y", "inside", F.col("a.row").alias("src_row"), F.col("b.col").alias("src_col"), (F.col("a.w") * F.col("b.w")).alias("w"))
-        src = src.select(F.col("row").alias(names["row"]), F.col("col").alias(names["col"]), "val")
-        met = spread.join(src, ["src_row", "src_col"], "left")
-    else:
-        met = spread.join(src, ["row", "col"], "left")
-    used = F.when(F.col("w") != 0, F.col("w") * F.col("val")).otherwise(0.0)
-    total = F.when(F.count("*") == F.count(used), F.sum(used))
-    return met.groupBy(*keys, "x", "y").agg(F.first("inside").alias("inside"), total.alias("v")).select(*keys, "x", "y", F.when(F.col("inside"), F.col("v")).otherwise(F.lit(fill)).alias("val"))
+    return met.select(*keys, "x", "y", F.when(inside, total).otherwise(F.lit(fill)).alias("val"))
 
 
 def resample(r: Raster, header: Header, order: int = 3, mode: str = "constant", fill: float = 0.0) -> Raster:

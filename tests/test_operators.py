@@ -259,6 +259,26 @@ def test_sim_ensemble_of_many_nodes_and_a_task_a_scenario(spark):
     assert len(got) == 4 and all(r["scenarios"] == 1 and r["n"] == n for r in got)
 
 
+def test_interpolation_meets_one_row_a_target(spark):
+    a = np.random.default_rng(4).standard_normal((37, 21))
+    a[5, 6] = np.nan
+    h = Header(0.0, 0.0, 1.0, 1.0, 21, 37)
+    src = Raster(cells(spark, a).cells.where("val is not null and not (row = 20 and col = 3)"), h)
+    points = [(0, 3.3, 4.4), (1, -9.5, 50.2), (2, 15.5, 16.5), (3, 5.7, 5.2), (4, 20.0, 36.0), (5, 3.1, 19.9), (6, 16.0, 32.0)]
+    targets = spark.createDataFrame(points, "id int, x double, y double")
+    out = interp.interpolate(src, targets, ["id"], 3, "nearest")
+    # 16 rows a target were joined and summed by it
+    assert "Aggregate [id#" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == len(points)
+    weight = lambda f: np.array([(1 - f) ** 3, 4 - 6 * f**2 + 3 * f**3, 1 + 3 * f + 3 * f**2 - 3 * f**3, f**3]) / 6
+    a[20, 3] = np.nan
+    for row in out.collect():
+        (i, f), (j, g) = ((int(np.floor(t)), t - np.floor(t)) for t in (row["y"], row["x"]))
+        w = np.outer(weight(f), weight(g))
+        v = a[np.ix_(np.clip(np.arange(i - 1, i + 3), 0, 36), np.clip(np.arange(j - 1, j + 3), 0, 20))]
+        want = (w * v)[w != 0].sum()
+        assert row["val"] == pytest.approx(want) if np.isfinite(want) else row["val"] is None
+
+
 def test_dates(spark):
     ts = datetime.datetime(2023, 7, 2, 12, 0, 0)
     row = spark.createDataFrame([(ts, 59000)], "ts timestamp, mjd int").select(dates.to_decimal_year(F.col("ts")).alias("t"), dates.mjd_to_date(F.col("mjd")).alias("d")).select("t", "d", dates.from_decimal_year(F.col("t") + 1e-9).alias("back")).first()
