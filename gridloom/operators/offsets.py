@@ -1,8 +1,7 @@
 """Image offset tracking: chips of a reference image are found again in a second image.
 
 Pixels are sent to the chips that hold them (an explosion of keys), so a chip is a group and no
-range join is planned. Integer offsets by normalised cross-correlation are sums by shift, made in
-the JVM; sub-pixel offsets use a NumPy kernel per chip, whose size is fixed.
+range join is planned. Offsets, integer or of parts of a pixel, use a NumPy kernel per chip, whose size is fixed.
 """
 
 from __future__ import annotations
@@ -26,14 +25,32 @@ def chips(cells: DataFrame, size: int, skip: int, ny: int, nx: int, margin: int
 
 
 def ncc(ref: DataFrame, sec: DataFrame, size: int, search: int, skip: int, ny: int, nx: int) -> DataFrame:
-    """(cy, cx, dy, dx, corr): correlation of each chip of sec with ref at every shift up to search."""
-    template = chips(sec, size, skip, ny, nx, search).select("cy", "cx", "i", "j", F.col("val").alias("b"))
-    shift = F.sequence(F.lit(-search), F.lit(search))
-    moved = template.withColumn("dy", F.explode(shift)).withColumn("dx", F.explode(shift))
-    moved = moved.withColumn("row", F.col("cy") * skip + search + F.col("i") + F.col("dy")).withColumn("col", F.col("cx") * skip + search + F.col("j") + F.col("dx"))
-    met = moved.join(ref.select("row", "col", F.col("val").alias("a")), ["row", "col"])
-    s = met.groupBy("cy", "cx", "dy", "dx").agg(F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
-    return s.select("cy", "cx", "dy", "dx", F.try_divide("ab", F.sqrt(F.col("aa") * F.col("bb"))).alias("corr"))
+    """(cy, cx, dy, dx, corr): correlation of each chip of sec with ref at every shift up to search. A chip
+    and its search window of ref are one group, whose size is fixed; shifts with no cell in common are left out."""
+    wide = size + 2 * search
+    template = chips(sec, size, skip, ny, nx, search).select("cy", "cx", "i", "j", "val", F.lit(True).alias("chip"))
+    both = template.unionByName(chips(ref, wide, skip, ny, nx).select("cy", "cx", "i", "j", "val", F.lit(False).alias("chip")))
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        def dense(rows: pd.DataFrame, n: int) -> tuple[np.ndarray, ...]:
+            """Cells that are there, and their values and which of them are not missing."""
+            there, has, v = np.zeros((n, n)), np.zeros((n, n)), np.zeros((n, n))
+            i, j, val = (rows[c].to_numpy(t) for c, t in (("i", int), ("j", int), ("val", float)))
+            there[i, j], has[i, j], v[i, j] = 1, ~np.isnan(val), np.where(np.isnan(val), 0.0, val)
+            return there, has, v
+
+        def met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return np.einsum("yxij,ij->yx", np.lib.stride_tricks.sliding_window_view(a, (size, size)), b)
+
+        (at, ah, a), (bt, bh, b) = dense(pdf[~pdf["chip"]], wide), dense(pdf[pdf["chip"]], size)
+        n, ab, aa, bb = met(at, bt), met(a, b), met(a * a, bt), met(at, b * b)
+        known = (met(ah, bh) > 0) & (aa * bb > 0)
+        corr = np.divide(ab, np.sqrt(aa * bb), out=np.full_like(ab, np.nan), where=known)
+        dy, dx = np.nonzero(n)
+        corr = pd.Series(corr[dy, dx])
+        return pd.DataFrame({"cy": np.int32(key[0]), "cx": np.int32(key[1]), "dy": (dy - search).astype(np.int32), "dx": (dx - search).astype(np.int32), "corr": corr.astype(object).where(corr.notna(), None)})
+
+    return both.groupBy("cy", "cx").applyInPandas(run, "cy int, cx int, dy int, dx int, corr double")
 
 
 def peaks(surface: DataFrame) -> DataFrame:

@@ -279,6 +279,22 @@ def test_interpolation_meets_one_row_a_target(spark):
         assert row["val"] == pytest.approx(want) if np.isfinite(want) else row["val"] is None
 
 
+def test_ncc_shuffles_cells_and_not_their_shifts(spark):
+    r = np.random.default_rng(6)
+    a, b = r.standard_normal((12, 12)), r.standard_normal((12, 12))
+    a[3, 4] = b[5, 5] = np.nan
+    out = offsets.ncc(cells(spark, a).cells, cells(spark, b).cells.where("row != 6 or col != 6"), 6, 2, 5, 12, 12)
+    assert "sequence(-2, 2" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["cy"], r["cx"], r["dy"], r["dx"]): r["corr"] for r in out.collect()}
+    assert len(got) == 25
+    there = np.ones((12, 12), bool)
+    there[6, 6] = False
+    for (cy, cx, dy, dx), corr in got.items():
+        t, s = (slice(2, 8), slice(2, 8)), (slice(2 + dy, 8 + dy), slice(2 + dx, 8 + dx))
+        x, y = a[s][there[t]], b[t][there[t]]
+        assert (cy, cx) == (0, 0) and corr == pytest.approx(np.nansum(x * y) / np.sqrt(np.nansum(x * x) * np.nansum(y * y)))
+
+
 def test_dates(spark):
     ts = datetime.datetime(2023, 7, 2, 12, 0, 0)
     row = spark.createDataFrame([(ts, 59000)], "ts timestamp, mjd int").select(dates.to_decimal_year(F.col("ts")).alias("t"), dates.mjd_to_date(F.col("mjd")).alias("d")).select("t", "d", dates.from_decimal_year(F.col("t") + 1e-9).alias("back")).first()
