@@ -97,26 +97,79 @@ def robust_fit(x: np.ndarray, d: np.ndarray, method: str, n_iter: int = 9) -> np
     return m
 
 
+def robust_fits(x: np.ndarray, v: np.ndarray, has: np.ndarray, method: str, n_iter: int = 9) -> np.ndarray:
+    """robust_fit of many windows: x (cells, p), v and has (windows, cells). Only "ils" and "lsq" are solved
+    at once; windows of another method, or whose cells leave the polynomial open, come one by one."""
+    p, out = x.shape[1], np.empty((len(v), x.shape[1]))
+    pairs = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
+
+    def solve(use: np.ndarray, at: np.ndarray):
+        a = (use @ pairs).reshape(-1, p, p)
+        e = np.linalg.eigvalsh(a)
+        fine = e[:, 0] > 1e-9 * e[:, -1]
+        m = np.zeros((len(a), p))
+        m[fine] = np.linalg.solve(a[fine], ((use * v[at]) @ x)[fine][:, :, None])[:, :, 0]
+        return m, fine
+
+    single = np.ones(len(v), bool)
+    if method in ("ils", "lsq"):
+        ok, at = has.copy(), np.arange(len(v))
+        m, fine = solve(ok.astype(float), at)
+        out, single = m, ~fine
+        at = at[fine]
+        for _ in range(n_iter if method == "ils" else 0):
+            res, n = np.abs(v[at] - out[at] @ x.T), ok[at].sum(1)
+            signed = np.where(ok[at], v[at] - out[at] @ x.T, 0.0)
+            mean = signed.sum(1) / n
+            std = np.sqrt((np.where(ok[at], signed - mean[:, None], 0.0) ** 2).sum(1) / n)
+            new = has[at] & (res <= 3 * np.maximum(std, 1e-300)[:, None])
+            go = (new != ok[at]).any(1) & (new.sum(1) >= p)
+            at, new = at[go], new[go]
+            if not len(at):
+                break
+            ok[at] = new
+            m, fine = solve(new.astype(float), at)
+            out[at[fine]] = m[fine]
+            single[at[~fine]] = True
+            at = at[fine]
+    for i in np.flatnonzero(single):
+        out[i] = robust_fit(x[has[i]], v[i][has[i]], method, n_iter)
+    return out
+
+
+TILE = 32
+
+
 def robust_gradient(r: Raster, window: int = 5, order: int = 1, method: str = "ils") -> DataFrame:
     """(row, col, fit, dy, dx): a polynomial fitted in the window around each cell, edges repeated.
-    Each source cell is sent to the windows that hold it; a window is bounded."""
+    Cells are sent to the tiles whose windows hold them; a tile and its margin are one group of fixed size."""
     h, k = r.header, window // 2
     powers = [(a, b) for s in range(order + 1) for a in range(s + 1) for b in [s - a]]
-    span = F.sequence(F.lit(-k), F.lit(k))
     src = pad_sources(r.cells.where("val is not null"), h, k, k, "edge")
-    sent = src.withColumn("a", F.explode(span)).withColumn("b", F.explode(span)).select((F.col("row") - F.col("a")).alias("row"), (F.col("col") - F.col("b")).alias("col"), "a", "b", "val")
-    sent = sent.where(F.col("row").between(0, h.ny - 1) & F.col("col").between(0, h.nx - 1)).groupBy("row", "col").agg(F.collect_list(F.struct("a", "b", "val")).alias("w"))
-
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for w in pdf["w"]:
-                a, b, v = (np.array([x[c] for x in w], float) for c in ("a", "b", "val"))
-                if len(v) < len(powers):
-                    out.append((None, None, None))
-                    continue
-                m = robust_fit(np.column_stack([a**p * b**q for p, q in powers]), v, method)
-                out.append((m[powers.index((0, 0))], m[powers.index((1, 0))] / h.dy, m[powers.index((0, 1))] / h.dx))
-            yield pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "fit": [o[0] for o in out], "dy": [o[1] for o in out], "dx": [o[2] for o in out]}).astype({"fit": float, "dy": float, "dx": float})
-
-    return sent.mapInPandas(run, "row int, col int, fit double, dy double, dx double")
+
+    def over(c: str):
+        return F.explode(F.sequence(F.floor((F.col(c) - k) / TILE), F.floor((F.col(c) + k) / TILE)))
+
+    sent = src.select("row", "col", "val", over("row").alias("ty")).withColumn("tx", over("col"))
+    y, x = (c.ravel() for c in np.meshgrid(*(np.arange(-k, k + 1.0),) * 2, indexing="ij"))
+    basis = np.column_stack([y**p * x**q for p, q in powers])
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        top, left, side = int(key[0]) * TILE, int(key[1]) * TILE, TILE + 2 * k
+        v, has = np.zeros((side, side)), np.zeros((side, side), bool)
+        i, j = pdf["row"].to_numpy() - top + k, pdf["col"].to_numpy() - left + k
+        v[i, j], has[i, j] = pdf["val"], True
+        ny, nx = min(TILE, h.ny - top), min(TILE, h.nx - left)
+        if ny <= 0 or nx <= 0 or top < 0 or left < 0:
+            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("row", "int32"), ("col", "int32"), ("fit", float), ("dy", float), ("dx", float))})
+        cut = lambda a: np.lib.stride_tricks.sliding_window_view(a, (2 * k + 1, 2 * k + 1))[:ny, :nx].reshape(ny * nx, -1)
+        v, has = cut(v), cut(has)
+        rows, cols = (c.ravel() for c in np.meshgrid(np.arange(top, top + ny), np.arange(left, left + nx), indexing="ij"))
+        met, n = has.any(1), has.sum(1)
+        enough, m = n >= len(powers), np.full((len(v), len(powers)), np.nan)
+        m[enough] = robust_fits(basis, v[enough], has[enough], method)
+        out = pd.DataFrame({"row": rows, "col": cols, "fit": m[:, powers.index((0, 0))], "dy": m[:, powers.index((1, 0))] / h.dy, "dx": m[:, powers.index((0, 1))] / h.dx}).astype({"row": "int32", "col": "int32"})
+        return out[met]
+
+    out = sent.groupBy("ty", "tx").applyInPandas(run, "row int, col int, fit double, dy double, dx double")
+    return out.select("row", "col", *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("fit", "dy", "dx")))

@@ -295,6 +295,29 @@ def test_ncc_shuffles_cells_and_not_their_shifts(spark):
         assert (cy, cx) == (0, 0) and corr == pytest.approx(np.nansum(x * y) / np.sqrt(np.nansum(x * x) * np.nansum(y * y)))
 
 
+@pytest.mark.parametrize("method", ("ils", "irls", "lsq"))
+def test_robust_gradient_of_tiles_equals_single_windows(spark, method):
+    r = np.random.default_rng(8)
+    a = r.standard_normal((35, 34))
+    a[r.random(a.shape) < 0.3], a[10:22, 8:20] = np.nan, np.nan
+    a[4, 4] = 60.0
+    out = fill.robust_gradient(cells(spark, a), 5, 1, method)
+    # a cell was sent to 25 windows
+    assert "sequence(-2, 2" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got, padded = {(q["row"], q["col"]): q for q in out.collect()}, np.pad(a, 2, "edge")
+    for i in range(35):
+        for j in range(34):
+            w = padded[i : i + 5, j : j + 5]
+            y, x = np.nonzero(~np.isnan(w))
+            if not len(y):
+                assert (i, j) not in got
+            elif len(y) < 3:
+                assert got[i, j]["fit"] is None
+            else:
+                m = fill.robust_fit(np.column_stack([np.ones(len(y)), x - 2.0, y - 2.0]), w[y, x], method)
+                assert np.allclose([got[i, j]["fit"], got[i, j]["dx"] * 2.0, got[i, j]["dy"] * -3.0], m, atol=1e-6)
+
+
 def test_dates(spark):
     ts = datetime.datetime(2023, 7, 2, 12, 0, 0)
     row = spark.createDataFrame([(ts, 59000)], "ts timestamp, mjd int").select(dates.to_decimal_year(F.col("ts")).alias("t"), dates.mjd_to_date(F.col("mjd")).alias("d")).select("t", "d", dates.from_decimal_year(F.col("t") + 1e-9).alias("back")).first()
