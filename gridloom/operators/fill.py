@@ -59,18 +59,26 @@ def _springs(cells: dict[tuple[int, int], float | None], h: Header) -> dict[tupl
 
 
 def inpaint(r: Raster) -> Raster:
-    """Spring metaphor: every missing cell is filled."""
+    """Spring metaphor: every missing cell is filled. A hole of one cell is the mean of its rim, taken by
+    the JVM; a larger one is a group."""
     h, inside = r.header, holes(r)
-    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))))
-    need = inside.select("hole", "row", "col", F.explode(steps).alias("s")).select("hole", (F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col")).distinct()
+    sized = inside.join(inside.groupBy("hole").agg(F.count("*").alias("size")), "hole")
+    cells = r.cells.select("row", "col", "val")
+
+    def around(holes: DataFrame, with_own: bool) -> DataFrame:
+        steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))[0 if with_own else 1 :]))
+        return holes.select("hole", "row", "col", F.explode(steps).alias("s")).select("hole", (F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         cells = {(int(a), int(b)): (None if pd.isna(v) else float(v)) for a, b, v in zip(pdf["row"], pdf["col"], pdf["val"])}
         out = _springs(cells, h)
         return pd.DataFrame({"row": [k[0] for k in out], "col": [k[1] for k in out], "val": list(out.values())})
 
-    filled = need.join(r.cells, ["row", "col"]).groupBy("hole").applyInPandas(run, "row int, col int, val double")
-    return Raster(r.cells.where("val is not null").select("row", "col", "val").unionByName(filled), h)
+    rims = around(sized.where("size = 1"), False)
+    mean = rims.join(cells, ["row", "col"], "left").groupBy("hole").agg(F.avg("val").alias("val"))
+    alone = mean.select(F.expr(f"cast(hole div {h.nx} as int)").alias("row"), (F.col("hole") % h.nx).cast("int").alias("col"), F.coalesce("val", F.lit(0.0)).alias("val"))
+    filled = around(sized.where("size > 1"), True).distinct().join(cells, ["row", "col"]).groupBy("hole").applyInPandas(run, "row int, col int, val double")
+    return Raster(cells.where("val is not null").unionByName(alone).unionByName(filled), h)
 
 
 def robust_fit(x: np.ndarray, d: np.ndarray, method: str, n_iter: int = 9) -> np.ndarray:

@@ -295,6 +295,21 @@ def test_ncc_shuffles_cells_and_not_their_shifts(spark):
         assert (cy, cx) == (0, 0) and corr == pytest.approx(np.nansum(x * y) / np.sqrt(np.nansum(x * x) * np.nansum(y * y)))
 
 
+def test_inpaint_fills_single_cells_without_a_group_each(spark, monkeypatch):
+    a = np.random.default_rng(9).standard_normal((7, 6))
+    a[0, 0] = a[3, 3] = a[6, 2] = np.nan
+    want = fill._springs({(i, j): None if np.isnan(v) else float(v) for (i, j), v in np.ndenumerate(a)}, Header(0.0, 0.0, 2.0, -3.0, 6, 7))
+
+    def no_group(cells, h):
+        raise AssertionError("a hole of one cell came as a group")
+
+    monkeypatch.setattr(fill, "_springs", no_group)
+    got = dense(fill.inpaint(cells(spark, a)).cells, a.shape)
+    assert not np.isnan(got).any() and all(got[at] == pytest.approx(v) for at, v in want.items())
+    assert got[3, 3] == pytest.approx((a[2, 3] + a[4, 3] + a[3, 2] + a[3, 4]) / 4)
+    assert dense(fill.inpaint(cells(spark, np.array([[np.nan]]))).cells, (1, 1))[0, 0] == 0.0
+
+
 @pytest.mark.parametrize("method", ("ils", "irls", "lsq"))
 def test_robust_gradient_of_tiles_equals_single_windows(spark, method):
     r = np.random.default_rng(8)
