@@ -127,6 +127,8 @@ def nearest_griddata(points: DataFrame, header: Header, bucket: float) -> Raster
     diameter = (header.xspan**2 + header.yspan**2) ** 0.5 + bucket
     far = points.agg(F.max(F.abs("x")).alias("a"), F.max(F.abs("y")).alias("b")).first()
     diameter += sum(abs(v or 0.0) for v in far)
+    # of points at one place the least id alone can win; the joined rows would have all of them
+    points = points.join(points.groupBy("x", "y").agg(F.min("id").alias("id")), ["x", "y", "id"], "left_semi")
     done = None
     while True:
         key = lambda c: F.floor(F.col(c) / bucket).cast("bigint")

@@ -295,6 +295,13 @@ def test_ncc_shuffles_cells_and_not_their_shifts(spark):
         assert (cy, cx) == (0, 0) and corr == pytest.approx(np.nansum(x * y) / np.sqrt(np.nansum(x * x) * np.nansum(y * y)))
 
 
+def test_griddata_joins_a_place_once(spark):
+    points = spark.createDataFrame([(i, float(i % 3) * 10, 5.0, float(i)) for i in range(3000)], "id bigint, x double, y double, z double")
+    out = interp.nearest_griddata(points, Header(0.0, 0.0, 10.0, 10.0, 3, 1), 10.0).cells
+    assert {r["col"]: r["val"] for r in out.collect()} == {0: 0.0, 1: 1.0, 2: 2.0}
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_inpaint_fills_single_cells_without_a_group_each(spark, monkeypatch):
     a = np.random.default_rng(9).standard_normal((7, 6))
     a[0, 0] = a[3, 3] = a[6, 2] = np.nan
